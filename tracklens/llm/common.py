@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 
+import numpy as np  # noqa: F401  its BLAS has to be loaded before its threads are set
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def batch_rows(spark: SparkSession, rows: int) -> None:
     """Rows of an Arrow batch; bounds a worker's memory when rows are long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def one_blas_thread() -> None:
+    """Matrix products of this process run on its own core: tasks fill the others already."""
+    with contextlib.suppress(OSError):
+        with open("/proc/self/maps") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line}
+        for path in paths:
+            lib = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(lib, name):
+                    getattr(lib, name)(1)
+
+
+# A driver that forks may hang in a product of several threads, so this holds there too.
+one_blas_thread()

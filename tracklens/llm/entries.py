@@ -6,13 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklens.llm import html_text, packing, unigram, warc
-from tracklens.llm.common import batch_rows, table
+from tracklens.llm import hmm, html_text, langid, packing, quality, unigram, warc
+from tracklens.llm.common import batch_rows, fold, table
 
 #: Rows of an Arrow batch of whole texts.
 TEXT_ROWS = 2000
 
 
+def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, TEXT_ROWS)
+    docs = table(spark, sf_dir, "documents")
+    return hmm.score(docs, fold(docs.doc_id, 7) == 2)
+
+
+def op2_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, TEXT_ROWS)
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, fold(docs.doc_id, 5) == 0)
+
+
+def op6_qda_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, TEXT_ROWS)
+    docs = table(spark, sf_dir, "documents")
+    return quality.assess(docs, table(spark, sf_dir, "labels"), fold(docs.doc_id, 5) == 0)
+
+
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_and_index(table(spark, sf_dir, "pages"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -34,7 +52,7 @@ def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_warc_index, op7_unigram_counts, op8_template_html, op9_kk_packing)}
+    return {f.__name__: f for f in (op1_hmm_lm, op2_cnn_langid, op4_warc_index, op6_qda_quality, op7_unigram_counts, op8_template_html, op9_kk_packing)}
 
 
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(sha1(payload), CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '')"""
