@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracklens.llm import hmm, html_text, langid, packing, quality, unigram, warc
+from tracklens.llm import decontaminate, hmm, html_text, jaccard, langid, packing, prefix_forest, quality, unigram, warc
 from tracklens.llm.common import batch_rows, fold, table
 
 #: Rows of an Arrow batch of whole texts.
@@ -25,6 +26,15 @@ def op2_cnn_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, fold(docs.doc_id, 5) == 0)
 
 
+def op3_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, TEXT_ROWS)
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op6_qda_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch_rows(spark, TEXT_ROWS)
     docs = table(spark, sf_dir, "documents")
@@ -51,8 +61,14 @@ def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, 10_000)
+    vectors = table(spark, sf_dir, "embeddings")
+    return prefix_forest.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hmm_lm, op2_cnn_langid, op4_warc_index, op6_qda_quality, op7_unigram_counts, op8_template_html, op9_kk_packing)}
+    return {f.__name__: f for f in (op1_hmm_lm, op2_cnn_langid, op3_lsa_decontamination, op4_warc_index, op5_rtree_jaccard, op6_qda_quality, op7_unigram_counts, op8_template_html, op9_kk_packing, op10_prefix_forest)}
 
 
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(sha1(payload), CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '')"""
