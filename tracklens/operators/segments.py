@@ -18,7 +18,11 @@ def segments(points: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     tie = [c for c in ("seq", "lat", "lon", "sog", "draught") if c in points.columns]
     w = Window.partitionBy("mmsi").orderBy("ts_s", *tie)
     back = lambda c: F.lag(c).over(w).alias(f"{c}_prev")
-    base = points.select("*", back("ts_s"), back("lat"), back("lon"), back("draught"))
+    return judge(points.select("*", back("ts_s"), back("lat"), back("lon"), back("draught")), t)
+
+
+def judge(base: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Measures and verdicts of rows that hold a ping and the one before it (``*_prev``)."""
     measured = base.withColumns({"hours": hours_between(F.col("ts_s_prev"), F.col("ts_s")), "dist_m": haversine_m(F.col("lat_prev"), F.col("lon_prev"), F.col("lat"), F.col("lon"))})
     measured = measured.withColumn("speed_knots", knots(F.col("dist_m"), F.col("hours")))
     h, d, v, d1, d2 = (F.col(c) for c in ("hours", "dist_m", "speed_knots", "draught_prev", "draught"))
