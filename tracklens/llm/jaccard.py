@@ -8,15 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import stored
+from tracklens.llm.common import free_shuffles, stored
 from tracklens.llm.components import components
 from tracklens.llm.words import Words, mix, words_of
 
 SHINGLE = 5
 #: Link when 100 * intersection >= 75 * union, which is 7 * intersection >= 3 * (size + size).
 NEED_I, NEED_S = 7, 3
-#: Groups of shingles whose counts are a point's coordinates.
-GROUPS = 64
+#: Groups of shingles whose counts are a point's coordinates: many, so that unrelated long texts have unlike counts.
+GROUPS = 256
 LEAF = 16
 #: Rows of an R-tree, at most; larger groups are split, and every query meets every part.
 BLOCK = 2048
@@ -62,6 +62,17 @@ def prefix(u: np.ndarray, late: np.ndarray) -> np.ndarray:
     return u[:p]
 
 
+def counted(u: np.ndarray) -> bytes:
+    """Shingles of each group, a byte each; 255 stands for so many or more."""
+    return np.minimum(np.bincount((u >> np.uint64(56)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
+
+
+def counts_of(vectors: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Coordinates of points; one that is cut off counts as the whole set, so that bounds hold."""
+    v = np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    return np.where(v == 255, sizes[:, None].astype(np.int32), v) if (v == 255).any() else v
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles in many of a bounded, hash-chosen sample of texts. They steer the prefix order only."""
     n = docs.count()
@@ -95,7 +106,7 @@ def describe(docs: DataFrame, late: np.ndarray) -> DataFrame:
                     new = sig is not None and sig not in seen
                     sigs.append(sig)
                     sizes.append(len(u))
-                    vectors.append(np.bincount((u >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes() if new else None)
+                    vectors.append(counted(u) if new else None)
                     keys.append(prefix(u, late).view(np.int64) if new else None)
                     if new:
                         seen.add(sig)
@@ -154,7 +165,7 @@ def survivors(index: DataFrame, queries: DataFrame) -> DataFrame:
 
         for batch in batches:
             grp, block, asks, sig, comp, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            vec = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<i4").reshape(-1, GROUPS)
+            vec = counts_of(batch.column(6).to_pylist(), n)
             new = np.flatnonzero(np.r_[True, (np.diff(grp) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)])
             left: list[np.ndarray] = []
             right: list[np.ndarray] = []
@@ -229,10 +240,26 @@ def sets_of(docs: DataFrame, members: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, hashes array<long>").dropDuplicates(["sig"])
 
 
+def key_rich(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs with as many common prefix keys as a link implies.
+
+    Of a set of size a that links with one of size b at most a - o shingles are not
+    common, o being the least overlap, so that at least p - (a - o) of its p prefix
+    keys are; for the one of both whose prefix ends first in the common order, these
+    are keys of the other's prefix too.
+    """
+    side = lambda c: prefixes.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("ks").alias(f"k{c}"))
+    least = F.ceil(NEED_S * (F.col("na") + F.col("nb")) / F.lit(float(NEED_I)))
+    spare = lambda n: n - F.floor((3 * n + 3) / 4) + 1 - n + least
+    need = F.greatest(F.lit(1), F.least(spare(F.col("na")), spare(F.col("nb"))))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.size(F.array_intersect("ka", "kb")) >= need).select("a", "b")
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets do link."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     sets = stored(sets_of(docs, membership_filter(ids)), "sets", "lz4")
+    free_shuffles(docs.sparkSession)
     side = lambda c: sets.select(F.col("sig").alias(c), F.col("hashes").alias(f"h{c}"))
     both = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(NEED_I * both >= NEED_S * (F.size("ha") + F.size("hb"))).select("a", "b")
@@ -247,19 +274,27 @@ def classes(docs: DataFrame) -> DataFrame:
     that matters to a component is missed, and a group of near copies costs a number
     of pairs in proportion to its size.
     """
+    spark: SparkSession = docs.sparkSession
     late = frequent_shingles(docs)
     rows = stored(describe(docs.select("doc_id", "text"), late), "shingled", "lz4")
     points = rows.filter("vec is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
     points = stored(points, "points")
     keys = rows.filter("keys is not null").select(F.explode("keys").alias("key"), "sig")
-    shared = keys.groupBy("key").agg(F.min("sig").alias("hub"), F.max("sig").alias("top")).filter("hub <> top").select("key", "hub")
-    members = stored(keys.join(shared, "key").distinct(), "members")
+    # A key of one row can't bring sets together; most are. A set's rows of several tasks fall together after.
+    again = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+    members = keys.join(again, "key").distinct()
+    members = stored(members, "members")
+    free_shuffles(spark)
+    hubs = members.groupBy("key").agg(F.min("sig").alias("hub"), F.max("sig").alias("top")).filter("hub <> top").select("key", "hub")
+    members = stored(members.join(hubs, "key"), "members")
+    prefixes = stored(members.groupBy("sig").agg(F.collect_list("key").alias("ks")).join(points.select("sig", "n"), "sig"), "shared-keys", "lz4")
     votes = members.filter("sig <> hub").groupBy("sig", "hub").agg(F.count("*").alias("votes"))
     best = votes.groupBy("sig").agg(F.max_by("hub", F.struct("votes", "hub")).alias("grp"))
     index = best.join(points, "sig").select("grp", "sig", F.col("sig").alias("comp"), "n", "vec")
-    hubs = best.select("grp").distinct().join(points.withColumnRenamed("sig", "grp"), "grp").select("grp", F.col("grp").alias("sig"), F.col("grp").alias("comp"), "n", "vec")
-    first = stored(survivors(index, hubs), "pairs")
+    centres = best.select("grp").distinct().join(points.withColumnRenamed("sig", "grp"), "grp").select("grp", F.col("grp").alias("sig"), F.col("grp").alias("comp"), "n", "vec")
+    first = stored(key_rich(survivors(index, centres), prefixes), "pairs")
     links = stored(verified(docs, first), "links")
+    free_shuffles(spark)
     roots = stored(components(links), "roots")
 
     comp = members.join(roots.withColumnRenamed("id", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("comp"))
@@ -271,7 +306,7 @@ def classes(docs: DataFrame) -> DataFrame:
     open_groups = comp.join(spans, "key").join(points, "sig").select(F.col("key").alias("grp"), "sig", "comp", "main", "n", "vec")
     open_groups = stored(open_groups, "open-groups")
     rest = survivors(open_groups.drop("main"), open_groups.filter("comp <> main").drop("main")).join(first, ["a", "b"], "left_anti")
-    rest = stored(rest, "pairs")
+    rest = stored(key_rich(rest, prefixes), "pairs")
     if not rest.isEmpty():
         more = stored(verified(docs, rest), "links")
         roots = stored(components(links.unionByName(more)), "roots")
@@ -290,9 +325,44 @@ def join(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     rows, roots = classes(base)
-    per_set = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).join(roots.withColumnRenamed("id", "sig"), "sig", "left")
-    per_set = stored(per_set.filter("k > 1 or root is not null").select("sig", F.coalesce("root", "sig").alias("root"), "least"), "sets-of-rows")
-    named = per_set.groupBy("root").agg(F.min("least").alias("component_id"))
-    wide = per_set.join(named, "root").select("sig", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(wide, ["sig", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = _by_set(rows, roots, F.min("least").alias("component_id"), ["component_id"])
+    return _salted(rows).join(named, ["sig", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+
+
+def _by_set(rows: DataFrame, roots: DataFrame, value, columns: list[str]) -> DataFrame:
+    """``value`` over each component's sets, by (sig, salt), for sets with more than one row or any link.
+
+    A set of very many rows meets them in ``SALTS`` slices.
+    """
+    per_set = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "sig")).alias("kept"), F.count("*").alias("k")).join(roots.withColumnRenamed("id", "sig"), "sig", "left")
+    per_set = stored(per_set.filter("k > 1 or root is not null").select("sig", F.coalesce("root", "sig").alias("root"), "least", "kept"), "sets-of-rows")
+    return per_set.join(per_set.groupBy("root").agg(value), "root").select("sig", *columns, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without all but one of each component: its least ``doc_id`` stays (a null one first).
+
+    Texts without words stay. Of equal rows of one id one stays.
+    """
+    at, columns = docs.columns.index("text"), docs.columns
+    rows, roots = classes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")))
+    kept = _by_set(rows, roots, F.min("kept").alias("kept"), ["kept"])
+    gone = _salted(rows).join(kept, ["sig", "salt"]).filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("sig") == F.col("kept.sig")))).select(F.col("doc_id").alias("_gone_id"), F.col("sig").alias("_gone_sig")).distinct()
+    gone = stored(gone, "gone")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sigs = [signature(u) if len(u) else None for w in words_of(batch.column(at)) for u in shingles(w)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.int64())], names=[*columns, "_sig"])
+
+    signed = docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _sig long")
+    left = signed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_sig") == F.col("_gone_sig")), "left_anti")
+    if not rows.filter("sig is not null").groupBy("doc_id", "sig").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
+        left = left.filter("_sig is null").unionByName(left.filter("_sig is not null").dropDuplicates(["doc_id", "_sig"]))
+    return left.select(*columns)
