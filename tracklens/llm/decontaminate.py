@@ -28,11 +28,11 @@ _TABLE = bytes(32 if _SIGNS[b] else b for b in range(256))
 
 
 def plain(column):
-    """Texts with ASCII signs as blanks, so that words compare without punctuation."""
+    """Texts in lower case with ASCII signs as blanks, so that words compare without case and punctuation."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    c = pc.fill_null(column.cast(pa.large_string()), "")
+    c = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
     offsets = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
     raw = c.buffers()[2]
     data = raw.to_pybytes()[offsets[0] : offsets[-1]].translate(_TABLE) if raw is not None else b""

@@ -19,6 +19,8 @@ SAMPLE_EACH, SAMPLE_ALL, SAMPLE_CHARS, EPOCHS = 2000, 12_000, 220, 14
 #: Windows that are convolved at once.
 BLOCK = 256
 UNDETERMINED = "und"
+#: Probability below which a prediction is a guess.
+KEPT_SCORE = 0.4
 #: Bytes as the network sees them: A-Z as a-z; ASCII signs, digits and white space as a blank.
 SEEN = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
@@ -129,11 +131,20 @@ def sample(docs: DataFrame, training: Column) -> tuple[list[str], list[str]]:
     return [r.text for r in got], [r.lang for r in got]
 
 
-def predict(docs: DataFrame, net: Network, carry: list[str]) -> DataFrame:
-    """``carry`` columns with ``lang_pred`` and ``score``, from all windows of each text.
+def told(text: str, net: Network, tables: tuple[np.ndarray, np.ndarray]) -> tuple[str, float]:
+    """(language, probability) of a whole text. Its logits are the mean of its windows', weighted by their letters."""
+    if not net.langs or not any(map(str.isalpha, text)):
+        return UNDETERMINED, 0.0
+    w = windows_of(text.encode())
+    letters = (w != 32).sum(1)
+    z = (net.logits(w, tables) * letters[:, None]).sum(0) / max(1, letters.sum())
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    return net.langs[int(p.argmax())], float(p.max())
 
-    A text's logits are the mean of its windows', weighted by their letters.
-    """
+
+def predict(docs: DataFrame, net: Network, carry: list[str]) -> DataFrame:
+    """``carry`` columns with ``lang_pred`` and ``score``, from all windows of each text."""
     kept = docs.select(*carry, F.col("text").cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + (", " if carry else "") + "lang_pred string, score double"
 
@@ -143,21 +154,8 @@ def predict(docs: DataFrame, net: Network, carry: list[str]) -> DataFrame:
         one_blas_thread()
         tables = net.tables()
         for batch in batches:
-            langs: list[str] = []
-            scores: list[float] = []
-            for text in batch.column(len(carry)):
-                value = text.as_py() or ""
-                if not net.langs or not any(map(str.isalpha, value)):
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                w = windows_of(value.encode())
-                letters = (w != 32).sum(1)
-                z = (net.logits(w, tables) * letters[:, None]).sum(0) / max(1, letters.sum())
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                langs.append(net.langs[int(p.argmax())])
-                scores.append(float(p.max()))
+            got = [told(t.as_py() or "", net, tables) for t in batch.column(len(carry))]
+            langs, scores = zip(*got, strict=True) if got else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
 
     return kept.mapInArrow(run, schema)
@@ -174,3 +172,25 @@ def identify(docs: DataFrame, held_out: Column, carry: list[str] | None = None)
     net = fit(*sample(docs, ~held_out))
     base = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text") if carry is None else docs
     return predict(base, net, carry or ["doc_id", "held_out"])
+
+
+def with_language(docs: DataFrame, held_out: Column, least: float = KEPT_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is told with a probability of ``least``.
+
+    Null texts and texts without a letter go. If no row is labelled nothing can be
+    told, and only those go.
+    """
+    net = fit(*sample(docs, ~held_out))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        one_blas_thread()
+        tables = net.tables()
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(at)]
+            keep = [told(t, net, tables)[1] >= least if net.langs else any(map(str.isalpha, t)) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

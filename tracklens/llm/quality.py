@@ -168,3 +168,21 @@ def assess(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text")
     stats = stored(with_statistics(base, ["doc_id", "held_out"]), "statistics")
     return apply(stats, train(stats, labels, ~F.col("held_out")), ["doc_id", "held_out"])
+
+
+def accepted(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+    base = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text")
+    model = train(stored(with_statistics(base, ["doc_id", "held_out"]), "statistics"), labels, ~F.col("held_out"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        one_blas_thread()
+        for batch in batches:
+            x = np.array([statistics(t.as_py() or "") for t in batch.column(at)], float).reshape(-1, len(NAMES))
+            keep = model.scores(x) >= THRESHOLD if model is not None and len(x) else np.ones(len(x), bool)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
