@@ -20,7 +20,9 @@ GROUPS = 256
 LEAF = 16
 #: Rows of an R-tree, at most; larger groups are split, and every query meets every part.
 BLOCK = 2048
-#: Shingles that put off in the prefix order because many of a bounded sample of texts have them.
+#: Sets, and shingles in them, of a block of a star.
+STAR_SETS, STAR_SHINGLES = 1024.0, 1_000_000.0
+#: Shingles that are put off in the prefix order because many of a bounded sample of texts have them.
 SAMPLE_TEXTS, SAMPLE_LEAST, SAMPLE_SHINGLES = 8000, 6, 200_000
 #: Bits of the filter that keeps most texts without a candidate out of the shuffle.
 FILTER_BITS = 1 << 26
@@ -120,6 +122,7 @@ class CountTree:
     """R-tree of count vectors: boxes hold coordinate maxima and the least set size below."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        self.points, self.sizes = points, sizes
         spread = points.var(0) if len(points) else np.zeros(points.shape[1])
         slab = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") // max(LEAF, int(len(sizes) ** 0.5))
         self.order = np.lexsort((points[:, int(spread.argmax())], slab))
@@ -141,9 +144,11 @@ class CountTree:
         return self.order[at]
 
 
-def survivors(index: DataFrame, queries: DataFrame) -> DataFrame:
+def survivors(index: DataFrame, queries: DataFrame, likeliest: bool = False) -> DataFrame:
     """Pairs (a, b) of different components in a group that the count vectors allow.
 
+    With ``likeliest``, of each query and block only the pair with the largest bound.
+
     Both sides have grp, sig, comp, n and vec. Groups are split in blocks of about
     ``BLOCK`` index rows and each query goes to all blocks of its group; a task holds
     one block's tree and streams the queries.
@@ -183,6 +188,9 @@ def survivors(index: DataFrame, queries: DataFrame) -> DataFrame:
                 for i in range(lo, hi):
                     hit = tree[0].search(vec[i], int(n[i]))
                     hit = hit[tree[2][hit] != comp[i]]
+                    if likeliest and len(hit) > 1:
+                        points, sizes = tree[0].points[hit], tree[0].sizes[hit]
+                        hit = hit[[np.argmax(np.minimum(points, vec[i]).sum(1) / (sizes + n[i]))]]
                     left.append(np.full(len(hit), sig[i]))
                     right.append(tree[1][hit])
             a, b = np.concatenate([*left, np.zeros(0, np.int64)]), np.concatenate([*right, np.zeros(0, np.int64)])
@@ -255,11 +263,96 @@ def key_rich(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.size(F.array_intersect("ka", "kb")) >= need).select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets do link."""
+def sets_in(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sig, hashes) of all sets in pairs (and of a few more)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     sets = stored(sets_of(docs, membership_filter(ids)), "sets", "lz4")
     free_shuffles(docs.sparkSession)
+    return sets
+
+
+class Forest:
+    """Disjoint sets of numbers."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = int(self.up[i])
+        return i
+
+
+def linking_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect what all links among ``sets`` connect: no pair of one component is tried again.
+
+    The R-tree gives each set's candidates, the likeliest of every other component
+    first; a component is done with at its first link.
+    """
+    sizes = np.array([len(u) for u in sets])
+    points = counts_of([counted(u) for u in sets], sizes)
+    tree, forest, out = CountTree(points, sizes), Forest(len(sets)), []
+    for i in range(len(sets)):
+        near = tree.search(points[i], int(sizes[i]))
+        near = near[near < i]
+        roots = np.array([forest.find(j) for j in near.tolist()], np.int64)
+        other = roots != forest.find(i)
+        near, roots = near[other], roots[other]
+        order = np.argsort(-np.minimum(points[near], points[i]).sum(1) / (sizes[near] + sizes[i]), kind="stable")
+        done: set[int] = set()
+        for j, root in zip(near[order].tolist(), roots[order].tolist(), strict=True):
+            if root in done:
+                continue
+            k = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if NEED_I * k >= NEED_S * (len(sets[i]) + len(sets[j])):
+                out.append((i, j))
+                done.add(root)
+                forest.up[forest.find(j)] = forest.find(i)
+    return out
+
+
+def star_links(docs: DataFrame, stars: DataFrame) -> DataFrame:
+    """Links (a, b) within the stars (grp, sig) of hubs and their sets.
+
+    A set travels once. Stars of many sets, or large ones, are split in blocks, of
+    which each has the hub too.
+    """
+    sets = sets_in(docs, stars.select(F.col("grp").alias("a"), F.col("sig").alias("b")))
+    sized = stars.join(sets, "sig").select("grp", "sig", "hashes")
+    blocks = stars.join(sets.select("sig", F.size("hashes").alias("n")), "sig").groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(STAR_SETS), F.sum("n") / F.lit(STAR_SHINGLES))).cast("int").alias("blocks"))
+    blocks = stored(blocks, "blocks")
+    mine = sized.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), "sig", "hashes")
+    hubs = blocks.join(sets.withColumnRenamed("sig", "grp"), "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("grp").alias("sig"), "hashes")
+    rows = mine.unionByName(hubs).repartition("grp", "block").sortWithinPartitions("grp", "block")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, sigs, held = None, [], []
+
+        def links():
+            pairs = linking_pairs(held)
+            a, b = np.array([sigs[i] for i, _ in pairs], np.int64), np.array([sigs[j] for _, j in pairs], np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            for grp, block, sig, hashes in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if (grp, block) != now:
+                    if len(held) > 1:
+                        yield links()
+                    now, sigs, held = (grp, block), [], []
+                sigs.append(sig)
+                held.append(hashes.values.to_numpy().view(np.uint64))
+        if len(held) > 1:
+            yield links()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sets do link."""
+    sets = sets_in(docs, pairs)
     side = lambda c: sets.select(F.col("sig").alias(c), F.col("hashes").alias(f"h{c}"))
     both = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(NEED_I * both >= NEED_S * (F.size("ha") + F.size("hb"))).select("a", "b")
@@ -268,8 +361,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, sig, n) of all documents, and (sig, root) of all sets that link, as two frames.
 
-    First each set meets the one hub with which it shares the most prefix keys, and
-    links make components. Then every group of sets with a common key that still spans
+    First each set that has a likely partner meets the one hub with which it shares the
+    most prefix keys, and the others of that hub; links make components. Then every group of sets with a common key that still spans
     components is searched completely for pairs across components. Together no link
     that matters to a component is missed, and a group of near copies costs a number
     of pairs in proportion to its size.
@@ -292,8 +385,11 @@ def classes(docs: DataFrame) -> DataFrame:
     best = votes.groupBy("sig").agg(F.max_by("hub", F.struct("votes", "hub")).alias("grp"))
     index = best.join(points, "sig").select("grp", "sig", F.col("sig").alias("comp"), "n", "vec")
     centres = best.select("grp").distinct().join(points.withColumnRenamed("sig", "grp"), "grp").select("grp", F.col("grp").alias("sig"), F.col("grp").alias("comp"), "n", "vec")
-    first = stored(key_rich(survivors(index, centres), prefixes), "pairs")
-    links = stored(verified(docs, first), "links")
+    meeting = stored(index.unionByName(centres), "stars")
+    first = survivors(meeting, meeting, likeliest=True)
+    near = first.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    stars = best.join(near, "sig", "left_semi").select("grp", "sig")
+    links = stored(star_links(docs, stored(stars, "stars")), "links")
     free_shuffles(spark)
     roots = stored(components(links), "roots")
 
@@ -305,7 +401,7 @@ def classes(docs: DataFrame) -> DataFrame:
     spans = spans.filter("comps > 1").groupBy("g", "h").agg(F.min("key").alias("key"), F.min("main").alias("main")).select("key", "main")
     open_groups = comp.join(spans, "key").join(points, "sig").select(F.col("key").alias("grp"), "sig", "comp", "main", "n", "vec")
     open_groups = stored(open_groups, "open-groups")
-    rest = survivors(open_groups.drop("main"), open_groups.filter("comp <> main").drop("main")).join(first, ["a", "b"], "left_anti")
+    rest = survivors(open_groups.drop("main"), open_groups.filter("comp <> main").drop("main"))
     rest = stored(key_rich(rest, prefixes), "pairs")
     if not rest.isEmpty():
         more = stored(verified(docs, rest), "links")
