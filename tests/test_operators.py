@@ -211,7 +211,7 @@ def test_scores(spark):
 
 
 def test_partitions_do_not_matter(spark):
-    rows = [("219%06d" % (i % 5), T0 + i * 1200, 55.0 + (i * 7 % 13) / 10, 10.0, 5.0, 5.0 + i % 3) for i in range(200)]
+    rows = [("219%06d" % (i % 5), T0 + i * 9000, 55.0 + (i * 7 % 13) / 10, 10.0, 5.0, 5.0 + i % 3) for i in range(200)]
     want = None
     for n in (1, 3, 16):
         got = sorted(map(str, detect.all_events(segments(pings(spark, rows).repartition(n))).collect()))
