@@ -322,7 +322,7 @@ def test_paraphrase_needs_its_answer(spark):
     q = say(20)
     para = [x if i % 2 else f"other{i}" for i, x in enumerate(q)]
     bench = spark.createDataFrame([(1, " ".join(q), "forty two")], "item_id long, text string, answer string")
-    rows = [(1, " ".join([*say(30), *para, "forty", "two", *say(30)])), (2, " ".join([*say(30), *para, *say(30)]))]
+    rows = [(1, " ".join([*say(30), *para, "forty", "two", *say(30)])), (2, " ".join([*say(30), *para, *say(30)]))] + [(i, " ".join(say(200))) for i in range(3, 60)]
     got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
     assert [r.doc_id for r in got.collect()] == [1]
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
-import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,24 +14,32 @@ import numpy as np  # noqa: F401  its BLAS has to be loaded before its threads a
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of applications without the setting.
+_own_dirs: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent, as in tests."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_to:
-        set_to = os.path.join(tempfile.gettempdir(), f"tracklens-shared-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to.rstrip("/")
+    if set_to:
+        return set_to.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="tracklens-shared-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+    return _own_dirs[app]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tracklens/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, codec: str = "zstd", paths: list[str] | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors. ``paths`` collects the folders."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if paths is not None:
+        paths.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,6 +62,12 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def some_of(key: Column, wanted: int, rows: int) -> Column:
+    """A hash-chosen share of ``rows`` rows, somewhat more than ``wanted``: what a limit then cuts doesn't grow with the table."""
+    most = 2**31 - 1
+    return F.pmod(key, F.lit(most)) <= int(min(1.0, (1.2 * wanted + 100) / max(1, rows)) * most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import one_blas_thread, stored
+from tracklens.llm.common import one_blas_thread, some_of, stored
 from tracklens.llm.words import Words, words_of
 
 STATES = 8
@@ -268,7 +268,9 @@ def train(docs: DataFrame, lex: Lexicon, states: int = STATES, passes: int = PAS
 
     key = F.xxhash64("text") if sample_key is None else sample_key
     at = F.pmod(key, F.greatest(F.lit(1), F.length("text") - SEED_CHARS)).cast("int") + 1
-    seeds = docs.filter("text is not null").select(key.alias("k"), F.substring(F.col("text"), at, F.lit(SEED_CHARS)).alias("text")).orderBy("k", "text").limit(SEED_TEXTS).toArrow()
+    ends = np.flatnonzero(lex.keys == END)
+    texts = int(lex.counts[ends[0]]) if len(ends) else 0
+    seeds = docs.filter("text is not null").filter(some_of(key, SEED_TEXTS, texts)).select(key.alias("k"), F.substring(F.col("text"), at, F.lit(SEED_CHARS)).alias("text")).distinct().orderBy("k", "text").limit(SEED_TEXTS).toArrow()
     model = Model.initial(lex, states)
     encoded = []
     for w in words_of(seeds["text"].combine_chunks() if seeds.num_rows else pa.array([], pa.string())):

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import one_blas_thread, stored
+from tracklens.llm.common import one_blas_thread, some_of, stored
 
 TREES, BITS = 12, 64
 #: Rows that one forest indexes, and queries that a task puts to it.
@@ -162,7 +162,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     d = lengths[0].d if lengths else 0
     rows = rows.filter(F.size("x") == d)
     n = lengths[0].n if lengths else 0
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").toArrow() if n else None
+    key = F.xxhash64("vec_id")
+    got = rows.filter(some_of(key, SAMPLE, n)).orderBy(key, "vec_id").limit(SAMPLE).select("x").toArrow() if n else None
     sample = np.array(got["x"].combine_chunks().flatten().to_numpy()).reshape(-1, d) if n else np.zeros((1, 1))
     p = planes(sample)
     share = needed_share(sample, p, k) if n else 1.0

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import one_blas_thread, stored
+from tracklens.llm.common import one_blas_thread, some_of, stored
 
 #: Labelled rows that the classes are fitted to, at most.
 SAMPLE = 20_000
@@ -135,6 +135,7 @@ def with_statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
 def train(stats: DataFrame, labels: DataFrame, training: Column) -> Discriminant | None:
     """Fit to a bounded, hash-ordered sample of labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.filter(some_of(F.xxhash64("doc_id"), SAMPLE, labels.count()))
     rows = stats.filter(training).select("doc_id", "x").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
     if not rows:
         return None
