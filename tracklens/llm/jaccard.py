@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import free_shuffles, stored
+from tracklens.llm.common import free_shuffles, remove, stored
 from tracklens.llm.components import components
 from tracklens.llm.words import Words, mix, words_of
 
@@ -263,10 +263,10 @@ def key_rich(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.size(F.array_intersect("ka", "kb")) >= need).select("a", "b")
 
 
-def sets_in(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def sets_in(docs: DataFrame, pairs: DataFrame, paths: list[str]) -> DataFrame:
     """(sig, hashes) of all sets in pairs (and of a few more)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    sets = stored(sets_of(docs, membership_filter(ids)), "sets", "lz4")
+    sets = stored(sets_of(docs, membership_filter(ids)), "sets", "lz4", paths)
     free_shuffles(docs.sparkSession)
     return sets
 
@@ -312,16 +312,16 @@ def linking_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def star_links(docs: DataFrame, stars: DataFrame) -> DataFrame:
+def star_links(docs: DataFrame, stars: DataFrame, paths: list[str]) -> DataFrame:
     """Links (a, b) within the stars (grp, sig) of hubs and their sets.
 
     A set travels once. Stars of many sets, or large ones, are split in blocks, of
     which each has the hub too.
     """
-    sets = sets_in(docs, stars.select(F.col("grp").alias("a"), F.col("sig").alias("b")))
+    sets = sets_in(docs, stars.select(F.col("grp").alias("a"), F.col("sig").alias("b")), paths)
     sized = stars.join(sets, "sig").select("grp", "sig", "hashes")
     blocks = stars.join(sets.select("sig", F.size("hashes").alias("n")), "sig").groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(STAR_SETS), F.sum("n") / F.lit(STAR_SHINGLES))).cast("int").alias("blocks"))
-    blocks = stored(blocks, "blocks")
+    blocks = stored(blocks, "blocks", paths=paths)
     mine = sized.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), "sig", "hashes")
     hubs = blocks.join(sets.withColumnRenamed("sig", "grp"), "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("grp").alias("sig"), "hashes")
     rows = mine.unionByName(hubs).repartition("grp", "block").sortWithinPartitions("grp", "block")
@@ -350,62 +350,78 @@ def star_links(docs: DataFrame, stars: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, paths: list[str]) -> DataFrame:
     """The pairs whose sets do link."""
-    sets = sets_in(docs, pairs)
+    sets = sets_in(docs, pairs, paths)
     side = lambda c: sets.select(F.col("sig").alias(c), F.col("hashes").alias(f"h{c}"))
     both = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(NEED_I * both >= NEED_S * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
+def _spanning(comp: DataFrame, points: DataFrame) -> DataFrame:
+    """The members of groups with a common key that span components, keys with the same members once."""
+    spans = comp.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("h"))
+    spans = spans.groupBy("key").agg(F.sum("k").alias("g"), F.sum("h").alias("h"), F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    spans = spans.filter("comps > 1").groupBy("g", "h").agg(F.min("key").alias("key"), F.min("main").alias("main")).select("key", "main")
+    return comp.join(spans, "key").join(points, "sig").select(F.col("key").alias("grp"), "sig", "comp", "main", "n", "vec")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, sig, n) of all documents, and (sig, root) of all sets that link, as two frames.
 
     First each set that has a likely partner meets the one hub with which it shares the
-    most prefix keys, and the others of that hub; links make components. Then every group of sets with a common key that still spans
-    components is searched completely for pairs across components. Together no link
+    most prefix keys, and the others of that hub; links make components. Then groups of
+    sets with a common key that still span components link their likeliest pairs, and
+    last they are searched completely for pairs across components. Together no link
     that matters to a component is missed, and a group of near copies costs a number
     of pairs in proportion to its size.
     """
     spark: SparkSession = docs.sparkSession
+    old: list[str] = []
+    brief: list[str] = []
+
+    def drop(paths: list[str]) -> None:
+        for path in paths:
+            remove(spark, path)
+        paths.clear()
+        free_shuffles(spark)
+
     late = frequent_shingles(docs)
     rows = stored(describe(docs.select("doc_id", "text"), late), "shingled", "lz4")
     points = rows.filter("vec is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
-    points = stored(points, "points")
+    points = stored(points, "points", paths=old)
     keys = rows.filter("keys is not null").select(F.explode("keys").alias("key"), "sig")
     # A key of one row can't bring sets together; most are. A set's rows of several tasks fall together after.
     again = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     members = keys.join(again, "key").distinct()
-    members = stored(members, "members")
+    members = stored(members, "members", paths=old)
     free_shuffles(spark)
     hubs = members.groupBy("key").agg(F.min("sig").alias("hub"), F.max("sig").alias("top")).filter("hub <> top").select("key", "hub")
-    members = stored(members.join(hubs, "key"), "members")
-    prefixes = stored(members.groupBy("sig").agg(F.collect_list("key").alias("ks")).join(points.select("sig", "n"), "sig"), "shared-keys", "lz4")
+    members = stored(members.join(hubs, "key"), "members", paths=old)
+    prefixes = stored(members.groupBy("sig").agg(F.collect_list("key").alias("ks")).join(points.select("sig", "n"), "sig"), "shared-keys", "lz4", old)
     votes = members.filter("sig <> hub").groupBy("sig", "hub").agg(F.count("*").alias("votes"))
     best = votes.groupBy("sig").agg(F.max_by("hub", F.struct("votes", "hub")).alias("grp"))
     index = best.join(points, "sig").select("grp", "sig", F.col("sig").alias("comp"), "n", "vec")
     centres = best.select("grp").distinct().join(points.withColumnRenamed("sig", "grp"), "grp").select("grp", F.col("grp").alias("sig"), F.col("grp").alias("comp"), "n", "vec")
-    meeting = stored(index.unionByName(centres), "stars")
+    meeting = stored(index.unionByName(centres), "stars", paths=brief)
     first = survivors(meeting, meeting, likeliest=True)
     near = first.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     stars = best.join(near, "sig", "left_semi").select("grp", "sig")
-    links = stored(star_links(docs, stored(stars, "stars")), "links")
-    free_shuffles(spark)
+    links = stored(star_links(docs, stored(stars, "stars", paths=brief), brief), "links", paths=old)
     roots = stored(components(links), "roots")
 
-    comp = members.join(roots.withColumnRenamed("id", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("comp"))
-    comp = stored(comp, "member-components")
-    spans = comp.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("h"))
-    spans = spans.groupBy("key").agg(F.sum("k").alias("g"), F.sum("h").alias("h"), F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    # Keys with the same members are one group.
-    spans = spans.filter("comps > 1").groupBy("g", "h").agg(F.min("key").alias("key"), F.min("main").alias("main")).select("key", "main")
-    open_groups = comp.join(spans, "key").join(points, "sig").select(F.col("key").alias("grp"), "sig", "comp", "main", "n", "vec")
-    open_groups = stored(open_groups, "open-groups")
-    rest = survivors(open_groups.drop("main"), open_groups.filter("comp <> main").drop("main"))
-    rest = stored(key_rich(rest, prefixes), "pairs")
-    if not rest.isEmpty():
-        more = stored(verified(docs, rest), "links")
-        roots = stored(components(links.unionByName(more)), "roots")
+    drop(brief)
+    for whole in (False, True):
+        # A first round links what is likeliest, so that a large group is one component before pairs are listed.
+        comp = members.join(roots.withColumnRenamed("id", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("comp"))
+        spanning = stored(_spanning(stored(comp, "member-components", paths=brief), points), "open-groups", paths=brief)
+        rest = survivors(spanning.drop("main"), spanning.filter("comp <> main").drop("main"), likeliest=not whole)
+        rest = stored(key_rich(rest, prefixes), "pairs", paths=brief)
+        if not rest.isEmpty():
+            links = links.unionByName(stored(verified(docs, rest, brief), "links", paths=old))
+            roots = stored(components(links), "roots")
+        drop(brief)
+    drop(old)  # all but these two has served
     return rows.select("doc_id", "sig", "n"), roots
 
 
@@ -419,7 +435,7 @@ def join(docs: DataFrame) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     rows, roots = classes(base)
     named = _by_set(rows, roots, F.min("least").alias("component_id"), ["component_id"])
     return _salted(rows).join(named, ["sig", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -436,7 +452,7 @@ def _by_set(rows: DataFrame, roots: DataFrame, value, columns: list[str]) -> Dat
     """
     per_set = rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "sig")).alias("kept"), F.count("*").alias("k")).join(roots.withColumnRenamed("id", "sig"), "sig", "left")
     per_set = stored(per_set.filter("k > 1 or root is not null").select("sig", F.coalesce("root", "sig").alias("root"), "least", "kept"), "sets-of-rows")
-    return per_set.join(per_set.groupBy("root").agg(value), "root").select("sig", *columns, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return per_set.select("sig", "root").join(per_set.groupBy("root").agg(value), "root").select("sig", *columns, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
