@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklens.llm.common import stored
+
 #: A subtree is a template if it is in so many pages of its host, and in such a share of them.
 MIN_PAGES = 10
 MIN_SHARE = 0.3
@@ -187,6 +189,7 @@ def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
 
     n = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n")).filter((F.col("n") >= min_pages) | F.col("key").isNull())
+    n = stored(n, "subtrees")  # read twice, and a small part of the pages
     total = n.filter("key is null").select("host", F.col("n").alias("pages"))
     return n.filter("key is not null").join(total, "host").filter(F.col("n") >= F.col("pages") * min_share).select("key")
 
