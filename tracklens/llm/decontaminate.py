@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklens.llm.common import one_blas_thread
-from tracklens.llm.words import Words, words_of
+from tracklens.llm.words import Words, mix, words_of
 
 #: Words of a passage, and of the step to the next one.
 PASSAGE, STEP = 64, 32
@@ -138,21 +138,31 @@ def _project(basis: np.ndarray, p: np.ndarray, t: np.ndarray, x: np.ndarray) ->
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many disjoint passages each term of the vocabulary is, over all texts."""
+    """In how many disjoint passages each term of the vocabulary is, over all texts.
+
+    A task counts equal texts once: a leak doesn't become a common phrase by being copied.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        df, n = np.zeros(len(terms), np.int64), 0
+        df, n, seen = np.zeros(len(terms), np.int64), 0, set()
         for batch in batches:
             for w in words_of(plain(batch.column(0))):
+                total = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(w.hashes))]
+                new = np.zeros(len(w.first) - 1, bool)
+                for r, sign in enumerate((total[w.first[1:]] - total[w.first[:-1]]).tolist()):
+                    if sign not in seen:
+                        seen.add(sign)
+                        new[r] = True
                 at = np.minimum(np.searchsorted(terms, w.hashes), len(terms) - 1)
                 hit = np.flatnonzero(terms[at] == w.hashes)
                 doc = np.searchsorted(w.first, hit, "right") - 1
+                hit, doc = hit[new[doc]], doc[new[doc]]
                 count = -(-np.diff(w.first) // PASSAGE)
                 passage = (np.cumsum(count) - count)[doc] + (hit - w.first[doc]) // PASSAGE
                 df += np.bincount(np.unique(passage * len(terms) + at[hit]) % len(terms), minlength=len(terms))
-                n += int(count.sum())
+                n += int(count[new].sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms))), pa.array(np.r_[n, df])], names=["term", "n"])
 
     got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -171,7 +181,7 @@ def fit(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int = 3) ->
     terms = np.unique(np.concatenate([it.words for it in items]))
     df, n = document_frequencies(docs, terms)
     idf = np.log((n + 2) / (df + 1))
-    topical = df <= max(1.0, COMMON * n)
+    topical = df <= max(20.0, COMMON * n)
     keep = topical.copy()
     for it in items:
         at = np.unique(np.searchsorted(terms, it.words))
