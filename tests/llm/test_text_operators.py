@@ -327,6 +327,65 @@ def test_paraphrase_needs_its_answer(spark):
     assert [r.doc_id for r in got.collect()] == [1]
 
 
+def frequent_leaks():
+    """Documents of own words, a tenth of which hold one of two items, whole or with every fifth word swapped, so that all of its words are common."""
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(i, say(20)) for i in range(2)]
+    rows, want = [], set()
+    for d in range(1500):
+        body = say(120)
+        if d % 10 == 0:
+            i, item = items[d // 10 % 2]
+            body[50:50] = [f"x{d}" if d % 20 and j % 5 == 0 else x for j, x in enumerate(item)]
+            want.add((d, i, 0.8 if d % 20 else 1.0))
+        rows.append((d, " ".join(body)))
+    return rows, [(i, " ".join(x)) for i, x in items], want
+
+
+def test_frequent_leaks_are_found_in_any_partitioning(spark):
+    rows, items, want = frequent_leaks()
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [{tuple(r) for r in decontaminate.find_leaks(df.repartition(k), bench).collect()} for k in (1, 7)]
+    assert {r[:3] for r in got[0]} == {r[:3] for r in got[1]} == want
+    assert decontaminate.without_leaks(df, bench).count() == len(rows) - len(want)
+    terms = np.unique(decontaminate._hashed([items[0][1]])[0])
+    one, many = (decontaminate.document_frequencies(df.union(df).repartition(k), terms) for k in (1, 7))
+    assert one[1] == many[1] and (one[0] == many[0]).all()
+
+
+def test_leaks_of_spans_equal_brute_force():
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(40)]
+    for trial in range(40):
+        texts = [" ".join(rng.choice(vocab) for _ in range(rng.choice((1, 2, 5, 12, 30)))) for _ in range(4)]
+        items = [decontaminate.Item(i, h, decontaminate._hashed(["v1 v2"])[0] if i == 3 else np.zeros(0, np.uint64)).prepare() for i, h in enumerate(decontaminate._hashed(texts))]
+        bodies = []
+        for _ in range(6):
+            body = [rng.choice(vocab) for _ in range(rng.randint(0, 150))]
+            at = rng.randint(0, len(body))
+            body[at:at] = [x for x in texts[rng.randrange(4)].split() if rng.random() < 0.85]
+            bodies.append(" ".join(body))
+        terms = np.unique(np.concatenate([it.words for it in items]))
+        shared = decontaminate.Shared.of(items, terms, np.array([rng.randrange(9) for _ in terms]))
+        (w,) = words_of(decontaminate.plain(pa.array(bodies)))
+        got = defaultdict(float)
+        for r, i, block in shared.stretches(w, terms):
+            ws, n = w.hashes[w.first[r] : w.first[r + 1]].tolist(), len(items[i].words)
+            share = decontaminate.best_span(items[i], ws, range(block * n, min((block + 1) * n, len(ws))))[0]
+            got[r, i] = max(got[r, i], share)
+        for r in range(len(bodies)):
+            ws = w.hashes[w.first[r] : w.first[r + 1]].tolist()
+            for i, it in enumerate(items):
+                want, n = 0.0, len(it.words)
+                for a in range(len(ws)):
+                    share = decontaminate.common_length(it.masks, n, ws[a : a + it.span]) / n
+                    near = decontaminate._within(it.answer, ws[max(0, a - 64) : a + it.span + 64])
+                    if share >= 0.65 or (share >= 0.45 and near):
+                        want = max(want, share)
+                assert got[r, i] == want, (trial, r, i)
+
+
 def test_common_subsequence_equals_the_table():
     rng = random.Random(7)
     for _ in range(200):

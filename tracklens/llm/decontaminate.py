@@ -1,9 +1,10 @@
-"""Benchmark leaks by latent semantic retrieval: TF-IDF passages, a distributed randomised SVD, cosine candidates, then common subsequences."""
+"""Benchmark leaks: counts of shared words bound the common subsequences, which decide; a latent space (TF-IDF passages, a distributed randomised SVD) scores and places them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,10 +19,10 @@ PASSAGE, STEP = 64, 32
 RANK = 256
 #: Terms in more than this share of passages carry no topic; each item keeps its rarest few all the same.
 COMMON, FEW = 0.003, 4
-#: Cosine from which on a passage is a candidate for an item.
-COSINE = 0.3
 #: Share of an item's words that a common subsequence must hold; the lower one needs the item's answer nearby.
 SHARE, SHARE_WITH_ANSWER = 0.65, 0.45
+#: Share of an item's words of which a candidate must hold some that aren't the item's commonest; sets time, not results.
+RARER = 0.2
 _SIGNS = np.zeros(256, bool)
 _SIGNS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _TABLE = bytes(32 if _SIGNS[b] else b for b in range(256))
@@ -51,6 +52,16 @@ class Item:
             self.masks[h] = self.masks.get(h, 0) | 1 << i
         return self
 
+    @property
+    def share(self) -> float:
+        """The least share of words that can be a leak."""
+        return SHARE_WITH_ANSWER if len(self.answer) else SHARE
+
+    @property
+    def span(self) -> int:
+        """Words in a row that a common subsequence may spread over, so that scattered words don't add up."""
+        return max(2 * len(self.words), len(self.words) + 8)
+
 
 def common_length(masks: dict[int, int], n: int, words: list[int]) -> int:
     """Length of the longest common subsequence, a machine word of the item at a time."""
@@ -84,6 +95,68 @@ def read_items(benchmark: DataFrame) -> list[Item]:
     return [Item(r.item_id, w, a).prepare() for r, w, a in zip(rows, words, answers, strict=True) if len(w)]
 
 
+@dataclass
+class Shared:
+    """Where a text has enough of an item's words for a leak, whatever their weight.
+
+    A common subsequence of k words takes k of the item's places. Without the c places
+    of an item's commonest words, k - c are left at least, so a stretch with fewer hits
+    of the other words has no leak: this bound loses none, at any frequency of words.
+    """
+
+    first: np.ndarray  # postings of each term
+    item: np.ndarray
+    need: np.ndarray  # hits, by item
+    step: np.ndarray  # words of a block, by item
+    blocks: np.ndarray  # blocks of a stretch, which holds all spans that start in its first block
+
+    @staticmethod
+    def of(items: list[Item], terms: np.ndarray, df: np.ndarray) -> Shared:
+        term: list[np.ndarray] = []
+        need = np.zeros(len(items), np.int64)
+        for i, it in enumerate(items):
+            n = len(it.words)
+            need[i] = next(k for k in range(1, n + 1) if k / n >= it.share)
+            t, places = np.unique(np.searchsorted(terms, it.words), return_counts=True)
+            order = np.argsort(-df[t], kind="stable")
+            spare = need[i] - max(1, int(RARER * n))
+            dropped = int(np.searchsorted(np.cumsum(places[order]), spare, "right"))
+            need[i] -= places[order[:dropped]].sum()
+            term.append(t[order[dropped:]])
+        count = np.array([len(t) for t in term])
+        every, item = np.concatenate(term), np.repeat(np.arange(len(items)), count)
+        step = np.array([len(it.words) for it in items])
+        blocks = np.array([-(-it.span // len(it.words)) + 1 for it in items])
+        return Shared(np.searchsorted(np.sort(every), np.arange(len(terms) + 1)), item[np.argsort(every, kind="stable")], need, step, blocks)
+
+    def stretches(self, w: Words, terms: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, item, first block) of all stretches that may hold a leak."""
+        at = np.minimum(np.searchsorted(terms, w.hashes), len(terms) - 1)
+        hit = np.flatnonzero((terms[at] == w.hashes) & (self.first[at + 1] > self.first[at]))
+        begin, k = self.first[at[hit]], self.first[at[hit] + 1] - self.first[at[hit]]
+        row = np.searchsorted(w.first, hit, "right") - 1
+        item = self.item[np.repeat(begin - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        pair = np.repeat(row, k) * len(self.need) + item
+        block = np.repeat(hit - w.first[row], k) // self.step[item]
+        # Rows that have too few hits in all need no blocks.
+        enough = np.bincount(pair)[pair] >= self.need[item]
+        pair, block = pair[enough], block[enough]
+        if not len(pair):
+            return
+        most = int(self.blocks.max())
+        width = int(block.max()) + 1 + most
+        code, n = np.unique(pair * width + block, return_counts=True)
+        pair, block = np.divmod(code, width)
+        long = self.blocks[pair % len(self.need)]
+        start = np.unique(np.concatenate([code[(block >= d) & (long > d)] - d for d in range(most)]))
+        upto = np.r_[0, np.cumsum(n)]
+        pair, block = np.divmod(start, width)
+        item = pair % len(self.need)
+        held = upto[np.searchsorted(code, start + self.blocks[item])] - upto[np.searchsorted(code, start)]
+        ok = held >= self.need[item]
+        yield from zip((pair[ok] // len(self.need)).tolist(), item[ok].tolist(), block[ok].tolist(), strict=True)
+
+
 @dataclass
 class Latent:
     """The vocabulary of the benchmark with its weights, the latent basis, and the items' chunks in it."""
@@ -93,7 +166,7 @@ class Latent:
     basis: np.ndarray  # (terms, rank)
     chunks: np.ndarray  # (chunks, rank), of length 1
     of_item: np.ndarray  # item of each chunk
-    least: np.ndarray  # cosine from which on a passage is a candidate for each chunk
+    shared: Shared
     other: float  # squared weight of a word outside of the vocabulary
 
     def vectors(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,31 +211,21 @@ def _project(basis: np.ndarray, p: np.ndarray, t: np.ndarray, x: np.ndarray) ->
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many disjoint passages each term of the vocabulary is, over all texts.
-
-    A task counts equal texts once: a leak doesn't become a common phrase by being copied.
-    """
+    """In how many disjoint passages each term of the vocabulary is, over all texts."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        df, n, seen = np.zeros(len(terms), np.int64), 0, set()
+        df, n = np.zeros(len(terms), np.int64), 0
         for batch in batches:
             for w in words_of(plain(batch.column(0))):
-                total = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(w.hashes))]
-                new = np.zeros(len(w.first) - 1, bool)
-                for r, sign in enumerate((total[w.first[1:]] - total[w.first[:-1]]).tolist()):
-                    if sign not in seen:
-                        seen.add(sign)
-                        new[r] = True
                 at = np.minimum(np.searchsorted(terms, w.hashes), len(terms) - 1)
                 hit = np.flatnonzero(terms[at] == w.hashes)
                 doc = np.searchsorted(w.first, hit, "right") - 1
-                hit, doc = hit[new[doc]], doc[new[doc]]
                 count = -(-np.diff(w.first) // PASSAGE)
                 passage = (np.cumsum(count) - count)[doc] + (hit - w.first[doc]) // PASSAGE
                 df += np.bincount(np.unique(passage * len(terms) + at[hit]) % len(terms), minlength=len(terms))
-                n += int(count[new].sum())
+                n += int(count.sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms))), pa.array(np.r_[n, df])], names=["term", "n"])
 
     got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -187,7 +250,7 @@ def fit(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int = 3) ->
         at = np.unique(np.searchsorted(terms, it.words))
         keep[at[np.argsort(df[at], kind="stable")[:FEW]]] = True
     none = np.zeros(0)
-    latent = Latent(terms, np.where(keep, np.maximum(idf, 0.1), 0.0), none, none, none, none, float(np.log(n + 2) / 2) ** 2)
+    latent = Latent(terms, np.where(keep, np.maximum(idf, 0.1), 0.0), none, none, none, Shared.of(items, terms, df), float(np.log(n + 2) / 2) ** 2)
     parts = _chunks(items)
     dense = np.zeros((len(parts), len(terms)))
     for j, (_, words) in enumerate(parts):
@@ -244,8 +307,6 @@ def fit(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int = 3) ->
     chunks = dense @ latent.basis
     size = np.maximum(np.linalg.norm(chunks, axis=1), 1e-12)
     latent.chunks = (chunks / size[:, None]).astype(np.float32)
-    # A passage keeps of an item's direction what the basis does, so the threshold shrinks alike.
-    latent.least = COSINE * np.minimum(1.0, size / np.maximum(np.linalg.norm(dense, axis=1), 1e-12))
     latent.of_item = np.array([i for i, _ in parts])
     return latent
 
@@ -255,39 +316,53 @@ def _within(answer: np.ndarray, words: list[int]) -> bool:
     return bool(a) and any(words[i : i + len(a)] == a for i in range(len(words) - len(a) + 1))
 
 
+def best_span(it: Item, words: list[int], starts: range) -> tuple[float, int]:
+    """(share, start) of the first best leak of a span that starts in ``starts``; a share of 0 if there is none."""
+    n = len(it.words)
+    most = common_length(it.masks, n, words[starts.start : starts.stop + it.span]) / n
+    best = (0.0, 0)
+    if most < it.share:
+        return best
+    for a in starts:
+        # A span that starts between words of the item holds no more than the next one, but may be nearer to an answer.
+        if best[0] == most or not (words[a] in it.masks or len(it.answer)):
+            continue
+        share = common_length(it.masks, n, words[a : a + it.span]) / n
+        if share > best[0] and (share >= SHARE or (share >= SHARE_WITH_ANSWER and _within(it.answer, words[max(0, a - PASSAGE) : a + it.span + PASSAGE]))):
+            best = (share, a)
+    return best
+
+
 def leaks(w: Words, latent: Latent, items: list[Item]) -> Iterator[tuple[int, int, float, float, int]]:
-    """(row, item, share of its words in common, cosine, first word of the passage): the best of each row and item."""
-    p, t, x, row, start, outside = latent.vectors(w)
-    mass = np.bincount(p, weights=x * x, minlength=len(row))
-    # A vector's part in the latent space is no longer than itself: this drops no candidate.
-    heavy = (mass >= latent.least.min() ** 2 * (mass + outside))[p]
-    some, y = _project(latent.basis, p[heavy], t[heavy], x[heavy])
-    length = np.sqrt(mass + outside)[some]
-    best: dict[tuple[int, int], tuple[float, float, int]] = {}
-    for i in range(0, len(some), 4096):
-        cos = y[i : i + 4096] @ latent.chunks.T / length[i : i + 4096, None]
-        for a, c in zip(*np.nonzero(cos >= latent.least), strict=True):
-            r, at, item = int(row[some[i + a]]), int(start[some[i + a]]), int(latent.of_item[c])
-            it = items[item]
-            n = len(it.words)
-            lo, hi = max(w.first[r], at - n), min(w.first[r + 1], at + PASSAGE + n)
-            words = w.hashes[lo:hi].tolist()
-            share = _share_near(it, words, n)
-            if share >= SHARE or (share >= SHARE_WITH_ANSWER and _within(it.answer, words)):
-                found = (share, float(cos[a, c]), at - int(w.first[r]))
-                if found > best.get((r, item), (0.0, 0.0, 0)):
-                    best[r, item] = found
-    for (r, item), found in sorted(best.items()):
-        yield r, items[item].item_id, *found
-
-
-def _share_near(it: Item, words: list[int], n: int) -> float:
-    """The largest common share within spans of twice the item's length, so that scattered words don't add up."""
-    span = max(2 * n, n + 8)
-    best = 0
-    for a in range(0, max(1, len(words) - span + n), n):
-        best = max(best, common_length(it.masks, n, words[a : a + span]))
-    return best / n
+    """(row, item, share of its words in common, cosine, first word of the passage): the best span of each row and item, and the passage of it that is nearest in the latent space."""
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    row, words = -1, []
+    for r, item, block in latent.shared.stretches(w, latent.terms):
+        if r != row:
+            row, words = r, w.hashes[w.first[r] : w.first[r + 1]].tolist()
+        it = items[item]
+        n = len(it.words)
+        found = best_span(it, words, range(block * n, min((block + 1) * n, len(words))))
+        if found[0] > best.get((r, item), (0.0, 0))[0]:
+            best[r, item] = found
+    if not best:
+        return
+    rows = np.unique([r for r, _ in best])
+    part = SimpleNamespace(hashes=np.concatenate([w.hashes[w.first[r] : w.first[r + 1]] for r in rows]), first=np.r_[0, np.cumsum((w.first[1:] - w.first[:-1])[rows])])
+    p, t, x, of, start, outside = latent.vectors(part)
+    length = np.sqrt(np.bincount(p, weights=x * x, minlength=len(of)) + outside)
+    some, y = _project(latent.basis, p, t, x)
+    at = start - part.first[of]
+    for (r, item), (share, a) in sorted(best.items()):
+        i = int(np.searchsorted(rows, r))
+        lo, hi = np.searchsorted(of, (i, i + 1))
+        near = np.arange(lo, hi)[(at[lo:hi] + PASSAGE > a) & (at[lo:hi] < a + items[item].span)]
+        cosine = np.zeros(len(near))
+        j = np.minimum(np.searchsorted(some, near), max(0, len(some) - 1))
+        has = some[j] == near if len(some) else np.zeros(len(near), bool)
+        cosine[has] = (y[j[has]] @ latent.chunks[latent.of_item == item].T).max(1) / length[near[has]]
+        top = int(np.argmax(cosine))
+        yield r, items[item].item_id, share, float(cosine[top]), int(at[near[top]])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
