@@ -354,6 +354,24 @@ def test_frequent_leaks_are_found_in_any_partitioning(spark):
     assert one[1] == many[1] and (one[0] == many[0]).all()
 
 
+def test_leaks_are_the_same_at_every_size(spark, monkeypatch):
+    rows, items, want = frequent_leaks()
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    counted, got = decontaminate.document_frequencies, []
+    for times in (1, 20, 100_000):
+
+        def more(docs, terms, times=times):
+            found, n = counted(docs, terms)
+            return found * times, n * times
+
+        monkeypatch.setattr(decontaminate, "document_frequencies", more)
+        got.append(sorted(map(tuple, decontaminate.find_leaks(df, bench).collect())))
+    assert {r[:3] for r in got[0]} == want
+    for other in got[1:]:
+        assert [(*r[:3], r[4]) for r in other] == [(*r[:3], r[4]) for r in got[0]]
+        assert [r[3] for r in other] == pytest.approx([r[3] for r in got[0]], abs=1e-4)
+
+
 def test_leaks_of_spans_equal_brute_force():
     rng = random.Random(9)
     vocab = [f"v{i}" for i in range(40)]

@@ -19,6 +19,8 @@ PASSAGE, STEP = 64, 32
 RANK = 256
 #: Terms in more than this share of passages carry no topic; each item keeps its rarest few all the same.
 COMMON, FEW = 0.003, 4
+#: Share of passages that is added to each term's, and taken for a word outside of the vocabulary: weights depend on shares alone.
+FLOOR = 1e-5
 #: Share of an item's words that a common subsequence must hold; the lower one needs the item's answer nearby.
 SHARE, SHARE_WITH_ANSWER = 0.65, 0.45
 #: Share of an item's words of which a candidate must hold some that aren't the item's commonest; sets time, not results.
@@ -243,14 +245,14 @@ def fit(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int = 3) ->
     """
     terms = np.unique(np.concatenate([it.words for it in items]))
     df, n = document_frequencies(docs, terms)
-    idf = np.log((n + 2) / (df + 1))
-    topical = df <= max(20.0, COMMON * n)
+    idf = np.log((1 + FLOOR) / (df / max(1, n) + FLOOR))
+    topical = df <= COMMON * n
     keep = topical.copy()
     for it in items:
         at = np.unique(np.searchsorted(terms, it.words))
         keep[at[np.argsort(df[at], kind="stable")[:FEW]]] = True
     none = np.zeros(0)
-    latent = Latent(terms, np.where(keep, np.maximum(idf, 0.1), 0.0), none, none, none, Shared.of(items, terms, df), float(np.log(n + 2) / 2) ** 2)
+    latent = Latent(terms, np.where(keep, np.maximum(idf, 0.1), 0.0), none, none, none, Shared.of(items, terms, df), float(np.log((1 + FLOOR) / FLOOR) / 2) ** 2)
     parts = _chunks(items)
     dense = np.zeros((len(parts), len(terms)))
     for j, (_, words) in enumerate(parts):
