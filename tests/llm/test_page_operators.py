@@ -129,6 +129,19 @@ def test_recurring_subtrees_go(spark, limit):
     assert got == sorted((i, t, len(t)) for i, t in texts)
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("tag", ["main", "article"])
+def test_recurring_blocks_in_declared_articles_go(spark, tag, limit):
+    notice, bar = "<div class=hint><p>Prices are shown with tax</p></div>", "<p>Send this to a friend</p>"
+    page = lambda i: f"<body><{tag}><section>{notice}</section><p>story {i} of the day</p>{'<p>Good morning</p>' if i % 2 else ''}{bar}</{tag}></body>"
+    copy = f"<body><{tag}><div><p>a story that one posts again</p></div></{tag}></body>"
+    rows = [(i, f"http://s.example/{i}", page(i)) for i in range(40)] + [(100 + i, f"http://s.example/c{i}", copy) for i in range(60)] + [(200, "http://t.example/", page(0))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df, max_broadcast=limit).collect()}
+    want = {i: f"story {i} of the day" + (" Good morning" if i % 2 else "") for i in range(40)} | {100 + i: "a story that one posts again" for i in range(60)}
+    assert got == want | {200: "Prices are shown with tax story 0 of the day Send this to a friend"}
+
+
 def test_page_text(spark, odd):
     df = table(spark, "/root/testdata/sf0.01", "pages")
     got = {r.page_id: r.text for r in html_text.extract(df).collect()}

@@ -16,6 +16,8 @@ from tracklens.llm.common import stored
 #: A subtree is a template if it is in so many pages of its host, and in such a share of them.
 MIN_PAGES = 10
 MIN_SHARE = 0.3
+#: The share of a host's distinct declared articles from which on a paragraph, heading or list item in them is a template; other blocks need MIN_SHARE.
+PROSE_SHARE = 0.8
 #: Template keys that may be sent to all executors (8 bytes each); beyond, they are joined.
 MAX_BROADCAST = 1_000_000
 
@@ -24,6 +26,8 @@ RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe",
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 DROPPED = ("head", "nav", "aside", "form", "footer", "button", "select", "svg", "menu", "dialog", "object", "canvas", "audio", "video", "math", *RAW)
 INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img")
+#: Blocks that carry an article's own words.
+PROSE = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dt", "dd", "tr", "td", "th", "figcaption")
 #: Words in class, id or role that mark chrome around an article.
 CHROME = ("ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget")
 #: Elements that one may leave open, and those whose start closes them.
@@ -115,30 +119,41 @@ def _key(host: str, parts: list[bytes]) -> int:
     return int.from_bytes(hashlib.blake2b(b"\0".join([host.encode(), *parts]), digest_size=8).digest(), "little", signed=True)
 
 
-def subtrees(root: Node, host: str) -> dict[int, int]:
-    """id(node) -> key of its host, names, roles and text, for every element outside of declared articles.
+#: Where a subtree is: outside of declared articles, a block in them, prose in them.
+OUTSIDE, BLOCK, TEXT = 0, 1, 2
 
-    A declared article is the page's own text, even where a site repeats it.
+
+def subtrees(root: Node, host: str) -> tuple[dict[int, tuple[int, int]], int | None]:
+    """id(node) -> key of its host, place, names, roles and text, and its place; and a key of all declared articles.
+
+    Outside of declared articles each element has a key, in them each block but the
+    article itself. Keys of the two never meet, so a page's own words aren't taken for
+    the chrome that quotes them.
     """
     own = {id(n) for n in articles(root)}
-    out: dict[int, int] = {}
+    out: dict[int, tuple[int, int]] = {}
     digest: dict[int, bytes] = {}
-    todo: list[tuple[Node, bool]] = [(root, False)]
+    declared: list[bytes] = []
+    todo: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while todo:
-        node, done = todo.pop()
+        node, done, inside = todo.pop()
         if not done:
-            if id(node) in own:
-                digest[id(node)] = b"article"
-                continue
-            todo.append((node, True))
-            todo += [(k, False) for k in node.kids if isinstance(k, Node)]
+            todo.append((node, True, inside))
+            todo += [(k, False, inside or id(node) in own) for k in reversed(node.kids) if isinstance(k, Node)]
             continue
         parts = [node.tag.encode(), " ".join(sorted(node.words)).encode()]
         parts += [digest[id(k)] if isinstance(k, Node) else " ".join(k.split()).encode() for k in node.kids]
-        digest[id(node)] = hashlib.blake2b(b"\0".join(parts), digest_size=12).digest()
-        if node.tag not in ("#root", "html", "body"):
-            out[id(node)] = _key(host, [digest[id(node)]])
-    return out
+        made = hashlib.blake2b(b"\0".join(parts), digest_size=12).digest()
+        if id(node) in own:
+            declared.append(made)
+            made = b"article"
+        elif inside:
+            if node.tag not in INLINE and node.tag not in VOID:
+                out[id(node)] = _key(host, [b"inside", made]), TEXT if node.tag in PROSE else BLOCK
+        elif node.tag not in ("#root", "html", "body"):
+            out[id(node)] = _key(host, [made]), OUTSIDE
+        digest[id(node)] = made
+    return out, _key(host, declared) if declared else None
 
 
 def text_of(root: Node, removed: set[int]) -> str:
@@ -173,25 +188,33 @@ def host_of(url: str | None) -> str:
 
 
 def template_keys(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """Keys of subtrees that recur across a host's pages. Each page counts a key once; counts are partial sums."""
+    """Keys of subtrees that recur across a host's pages. Each page counts a key once; counts are partial sums.
+
+    In declared articles, distinct articles count instead of pages: copies of an article
+    are no evidence that its parts are chrome.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            hosts: list[str] = []
-            keys: list[int | None] = []
+            rows: list[tuple[str, int | None, int, int | None]] = []
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 host = host_of(url)
-                got = {*subtrees(parse(page.as_py() or ""), host).values()}
-                hosts += [host] * (len(got) + 1)
-                keys += [None, *got]  # the row without a key counts the page itself
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
-
-    n = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n")).filter((F.col("n") >= min_pages) | F.col("key").isNull())
-    n = stored(n, "subtrees")  # read twice, and a small part of the pages
-    total = n.filter("key is null").select("host", F.col("n").alias("pages"))
-    return n.filter("key is not null").join(total, "host").filter(F.col("n") >= F.col("pages") * min_share).select("key")
+                got, article = subtrees(parse(page.as_py() or ""), host)
+                rows += [(host, key, place, None if place == OUTSIDE else article) for key, place in {*got.values()}]
+                rows.append((host, None, OUTSIDE, None))  # rows without a key count the page and the article themselves
+                if article is not None:
+                    rows.append((host, None, BLOCK, article))
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ((),) * 4, kinds, strict=True)], names=["host", "key", "place", "article"])
+
+    each = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, key long, place int, article long").groupBy("host", "key", "place", "article").agg(F.count("*").alias("n"))
+    n = each.groupBy("host", "key", "place").agg(F.sum(F.when(F.col("article").isNull(), F.col("n")).otherwise(1)).alias("n")).filter((F.col("n") >= min_pages) | F.col("key").isNull())
+    n = stored(n.withColumn("outside", F.col("place") == OUTSIDE), "subtrees")  # read twice, and a small part of the pages
+    total = n.filter("key is null").select("host", "outside", F.col("n").alias("all"))
+    share = F.when(F.col("place") == TEXT, F.lit(max(min_share, PROSE_SHARE))).otherwise(F.lit(min_share))
+    return n.filter("key is not null").join(total, ["host", "outside"]).filter(F.col("n") >= F.col("all") * share).select("key")
 
 
 def _extract(with_keys: bool, fixed: np.ndarray | None):
@@ -206,7 +229,7 @@ def _extract(with_keys: bool, fixed: np.ndarray | None):
                 root = parse(page.as_py() or "")
                 removed: set[int] = set()
                 if page_keys is not None or (fixed is not None and len(fixed)):
-                    own = subtrees(root, host_of(url))
+                    own = {n: k for n, (k, _) in subtrees(root, host_of(url))[0].items()}
                     if page_keys is not None:
                         known = set(page_keys[i] or ())
                         removed = {n for n, k in own.items() if k in known}
@@ -241,7 +264,7 @@ def extract(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float =
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(i, k) for i, u, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True) for k in {*subtrees(parse(p.as_py() or ""), host_of(u)).values()}]
+            rows = [(i, k) for i, u, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True) for k, _ in {*subtrees(parse(p.as_py() or ""), host_of(u))[0].values()}]
             row, key = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(key, pa.int64())], names=["row_key", "key"])
 
