@@ -107,6 +107,20 @@ def test_roles_and_references():
     assert html_text.text_of(html_text.parse(PAGE), set()) == "One & two abc d e f g h i j <k’"
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class='content no-comments'", "div class=sidebar", "form", "div id=header"])
+@pytest.mark.parametrize("tag", ["article", "main", "section"])
+def test_wrappers_are_not_chrome(wrapper, tag):
+    page = f"<body><nav>no</nav><{wrapper}><{tag}><div class='entry-header'><h1>One</h1></div><p>two and three and four</p><div class='share-buttons'>no</div><div class='ad'>no</div></{tag}></{wrapper.split()[0]}><div class='site-footer'>no</div></body>"
+    assert html_text.text_of(html_text.parse(page), set()) == "One two and three and four"
+
+
+def test_articles_in_chrome_yield_to_others():
+    page = "<body><aside><article>no</article></aside><article>yes<section class=comments><article>no</article></section></article><div class='related-posts'><article>no</article></div></body>"
+    assert html_text.text_of(html_text.parse(page), set()) == "yes"
+    page = "<body><div class='main-menu'>no</div><p>yes</p><aside><article>no</article></aside><div class=widget><article>this</article></div></body>"
+    assert html_text.text_of(html_text.parse(page), set()) == "yes this"
+
+
 @pytest.mark.parametrize("text", ["", "plain", "<", "<p", "a<b", "<p>x</p", "x &am", "<!-- x", "<script>x", "</p></p>x", "<p a='>'>x", "<p a=\">x"])
 def test_broken_markup_does_not_fail(text):
     assert isinstance(html_text.text_of(html_text.parse(text), set()), str)

@@ -28,8 +28,12 @@ DROPPED = ("head", "nav", "aside", "form", "footer", "button", "select", "svg",
 INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img")
 #: Blocks that carry an article's own words.
 PROSE = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dt", "dd", "tr", "td", "th", "figcaption")
+#: An element that holds more than this share of a page's text isn't chrome by its class, nor is a form.
+MOST = 0.7
 #: Words in class, id or role that mark chrome around an article.
 CHROME = ("ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "consent", "disclaimer", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget")
+#: Words that such a word may be joined with by a hyphen or underscore; joined with others ("has-sidebar", "entry-header") it marks something else.
+JOINED = ("area", "bar", "block", "bottom", "box", "buttons", "container", "global", "inner", "left", "links", "list", "main", "posts", "right", "section", "site", "slot", "thread", "top", "unit", "wrap", "wrapper")
 #: Elements that one may leave open, and those whose start closes them.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 P_ENDERS = ("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul")
@@ -81,7 +85,7 @@ def parse(page: str) -> Node:
         if tag in P_ENDERS:
             close(("p",), ("article", "section", "div", "td", "th", "li", "blockquote", "body", "main", "button", "object"))
         attrs = " ".join(v[1] or v[2] or v[3] for v in _ATTR.findall(m[3])).lower() if m[3] else ""
-        node = Node(tag, frozenset(re.split(r"[^a-z0-9]+", attrs)) - {""} if attrs else frozenset())
+        node = Node(tag, frozenset(attrs.split()) if attrs else frozenset())
         stack[-1].kids.append(node)
         if tag in RAW:
             end = _END[tag].search(page, at)
@@ -91,27 +95,57 @@ def parse(page: str) -> Node:
     return root
 
 
+def _marks(token: str) -> bool:
+    parts = [x for x in re.split(r"[^a-z0-9]+", token) if x]
+    return any(x in CHROME for x in parts) and all(x in CHROME or x in JOINED or x.isdigit() for x in parts)
+
+
 def chrome(node: Node, in_article: bool) -> bool:
     """Whether an element's name or role says that it isn't article text."""
     if node.tag in DROPPED or (node.tag == "header" and not in_article):
         return True
-    return node.tag not in ("html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6") and not node.words.isdisjoint(CHROME)
+    return node.tag not in ("html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6") and any(map(_marks, node.words))
+
+
+def _main(node: Node) -> bool:
+    return node.tag == "main" or (node.tag == "div" and any("main" in re.split(r"[^a-z0-9]+", x) and not _marks(x) for x in node.words))
+
+
+def _wraps(root: Node, holders: bool) -> set[int]:
+    """Elements that aren't chrome by class, nor as forms, as they hold most of the page's text; with ``holders`` also those that hold a declared article."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [k for k in node.kids if isinstance(k, Node) and k.tag not in RAW and k.tag != "head"]
+    size: dict[int, int] = {}
+    holds: set[int] = set()
+    for node in reversed(order):
+        size[id(node)] = sum(size.get(id(k), 0) if isinstance(k, Node) else len("".join(k.split())) for k in node.kids)
+        if node.tag == "article" or _main(node) or any(id(k) in holds for k in node.kids):
+            holds.add(id(node))
+    return {id(n) for n in order if (n.tag == "form" or n.tag not in DROPPED) and (size[id(n)] > MOST * size[id(root)] or (holders and id(n) in holds))}
 
 
 def articles(root: Node) -> list[Node]:
-    """The outermost declared articles, else the declared main parts; empty if the page has none."""
-    for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            for kid in reversed(node.kids):
-                if isinstance(kid, Node) and not chrome(kid, False):
-                    todo.append(kid)
-            if node.tag == tag or (tag == "main" and "main" in node.words and node.tag == "div"):
-                found.append(node)
-                del todo[len(todo) - sum(isinstance(k, Node) and not chrome(k, False) for k in node.kids) :]
-        if found:
-            return found
+    """The outermost declared articles, else the declared main parts; empty if the page has none.
+
+    Those in chrome count only if no others are declared and the chrome is a wrapper of the page.
+    """
+    kept: set[int] = set()
+    for again in (False, True):
+        if again:
+            kept = _wraps(root, False)
+        for tag in ("article", "main"):
+            found, todo = [], [root]
+            while todo:
+                node = todo.pop()
+                if node.tag == tag or (tag == "main" and _main(node)):
+                    found.append(node)
+                    continue
+                todo += [k for k in reversed(node.kids) if isinstance(k, Node) and (id(k) in kept or not chrome(k, False))]
+            if found:
+                return found
     return []
 
 
@@ -159,6 +193,7 @@ def subtrees(root: Node, host: str) -> tuple[dict[int, tuple[int, int]], int | N
 def text_of(root: Node, removed: set[int]) -> str:
     """Text of the declared articles, else of the whole page, without chrome and ``removed`` nodes."""
     found = articles(root)
+    kept = set() if found else _wraps(root, True)
     out: list[str] = []
     todo: list = [(n, bool(found)) for n in reversed(found or [root])]
     while todo:
@@ -177,7 +212,7 @@ def text_of(root: Node, removed: set[int]) -> str:
         for kid in reversed(node.kids):
             if isinstance(kid, str):
                 todo.append(html_lib.unescape(kid))
-            elif id(kid) not in removed and not chrome(kid, inside):
+            elif id(kid) not in removed and (id(kid) in kept or not chrome(kid, inside)):
                 todo.append((kid, inside))
     return " ".join("".join(out).split())
 
