@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import stored
+from tracklens.llm.common import remove, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -23,22 +23,21 @@ def _small_star(e: DataFrame) -> DataFrame:
     return out.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id that has a link; the root is the least id of its component.
 
     Links stay distributed; each round is written to the shared folder, so that the
-    plan doesn't grow and lost executors cost one round. Stops when links no longer
-    change: then they are stars around the roots.
+    plan doesn't grow and lost executors cost one round; a round's folder goes after
+    the next. Stops when links no longer change: then they are stars around the roots.
     """
+    spark, paths = links.sparkSession, []
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges = stored(edges, "edges")
+    edges = stored(edges, "edges", paths=paths)
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-    before = state(edges)
-    for _ in range(rounds if before[0] else 0):
-        edges = stored(_small_star(_large_star(edges)), "edges")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
+    before, after = None, state(edges)
+    while after[0] and after != before:
+        edges = stored(_small_star(_large_star(edges)), "edges", paths=paths)
+        remove(spark, paths.pop(0))
+        before, after = after, state(edges)
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots)

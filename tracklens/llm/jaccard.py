@@ -15,17 +15,21 @@ from tracklens.llm.words import Words, mix, words_of
 SHINGLE = 5
 #: Link when 100 * intersection >= 75 * union, which is 7 * intersection >= 3 * (size + size).
 NEED_I, NEED_S = 7, 3
-#: Groups of shingles whose counts are a point's coordinates: many, so that unrelated long texts have unlike counts.
-GROUPS = 256
+#: Groups of shingles whose counts are a point's coordinates: a power of two at or above an eighth of the set, within these
+#: bounds. Eight shingles a group keep unrelated sets apart; above 8,000 shingles the bound weakens and common keys decide.
+LEAST_GROUPS, MOST_GROUPS, A_GROUP = 64, 1024, 8
 LEAF = 16
 #: Rows of an R-tree, at most; larger groups are split, and every query meets every part.
 BLOCK = 2048
 #: Sets, and shingles in them, of a block of a star.
 STAR_SETS, STAR_SHINGLES = 1024.0, 1_000_000.0
-#: Shingles that are put off in the prefix order because many of a bounded sample of texts have them.
-SAMPLE_TEXTS, SAMPLE_LEAST, SAMPLE_SHINGLES = 8000, 6, 200_000
-#: Bits of the filter that keeps most texts without a candidate out of the shuffle.
-FILTER_BITS = 1 << 26
+#: Shingles in two of each eighth's distinct texts are put off in the prefix order, the commonest so many at most: they steer
+#: time, not results.
+SAMPLE_PART, SAMPLE_LEAST, SAMPLE_SHINGLES = 8, 2, 500_000
+#: Bits of the filter by which texts without a candidate are passed over, by candidate and at most.
+FILTER_EACH, FILTER_BITS = 32, 1 << 29
+#: Signatures that a task remembers, to drop equal sets before the shuffle.
+REMEMBERED = 200_000
 SALTS = 16
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -64,32 +68,52 @@ def prefix(u: np.ndarray, late: np.ndarray) -> np.ndarray:
     return u[:p]
 
 
+def groups_of(n: int) -> int:
+    """How many coordinates the point of a set of ``n`` shingles has."""
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (-(-n // A_GROUP) - 1).bit_length()))
+
+
 def counted(u: np.ndarray) -> bytes:
-    """Shingles of each group, a byte each; 255 stands for so many or more."""
-    return np.minimum(np.bincount((u >> np.uint64(56)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
+    """Shingles of each group, which their highest bits name, a byte each; 255 stands for so many or more."""
+    g = groups_of(len(u))
+    return np.minimum(np.bincount((u >> np.uint64(65 - g.bit_length())).astype(np.int64), minlength=g), 255).astype(np.uint8).tobytes()
 
 
 def counts_of(vectors: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """Coordinates of points; one that is cut off counts as the whole set, so that bounds hold."""
-    v = np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    """Coordinates of points of one length; one that is cut off counts as the whole set, so that bounds hold."""
+    v = np.frombuffer(b"".join(vectors), np.uint8).reshape(len(vectors), -1).astype(np.int32)
     return np.where(v == 255, sizes[:, None].astype(np.int32), v) if (v == 255).any() else v
 
 
+def coarser(points: np.ndarray) -> np.ndarray:
+    """The points with half as many coordinates."""
+    return points.reshape(*points.shape[:-1], -1, 2).sum(-1)
+
+
+def _new_sets(w: Words, seen: set[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, signature, set) of rows with words whose set isn't among the last that were seen."""
+    if len(seen) > REMEMBERED:
+        seen.clear()
+    for i, u in enumerate(shingles(w)):
+        if len(u) and (sig := signature(u)) not in seen:
+            seen.add(sig)
+            yield i, sig, u
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles in many of a bounded, hash-chosen sample of texts. They steer the prefix order only."""
-    n = docs.count()
-    share = min(1.0, SAMPLE_TEXTS / max(1, n))
+    """Shingles in several of a hash-chosen eighth of the distinct sets. They steer the prefix order only."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        seen: set[int] = set()
         for batch in batches:
             for w in words_of(batch.column(0)):
-                keys, n = np.unique(np.concatenate([*shingles(w), np.zeros(0, np.uint64)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+                some = [(sig, u) for _, sig, u in _new_sets(w, seen) if sig % SAMPLE_PART == 0]
+                yield pa.RecordBatch.from_arrays([pa.array([sig for sig, _ in some], pa.int64()), pa.array([u.view(np.int64) for _, u in some], pa.list_(pa.int64()))], names=["sig", "keys"])
 
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    got = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "key").limit(SAMPLE_SHINGLES).toArrow()
+    sets = docs.select("text").mapInArrow(run, "sig long, keys array<long>").dropDuplicates(["sig"])
+    got = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "key").limit(SAMPLE_SHINGLES).toArrow()
     return np.sort(got["key"].to_numpy().view(np.uint64))
 
 
@@ -102,6 +126,8 @@ def describe(docs: DataFrame, late: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for w in words_of(batch.column(1)):
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 sigs, sizes, vectors, keys = [], [], [], []
                 for u in shingles(w):
                     sig = signature(u) if len(u) else None
@@ -119,93 +145,159 @@ def describe(docs: DataFrame, late: np.ndarray) -> DataFrame:
 
 
 class CountTree:
-    """R-tree of count vectors: boxes hold coordinate maxima and the least set size below."""
+    """R-tree of count vectors: boxes hold coordinate maxima, the least set size and the largest cap on an overlap below."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
-        spread = points.var(0) if len(points) else np.zeros(points.shape[1])
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, caps: np.ndarray):
+        spread = points.var(0) if len(points) > LEAF else np.zeros(points.shape[1])
         slab = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") // max(LEAF, int(len(sizes) ** 0.5))
         self.order = np.lexsort((points[:, int(spread.argmax())], slab))
-        self.levels = [(points[self.order], sizes[self.order])]
+        self.levels = [(points[self.order], sizes[self.order], caps[self.order])]
         while len(self.levels[-1][0]) > LEAF:
-            p, s = self.levels[-1]
+            p, s, c = self.levels[-1]
             cut = np.arange(0, len(p), LEAF)
-            self.levels.append((np.maximum.reduceat(p, cut), np.minimum.reduceat(s, cut)))
+            self.levels.append((np.maximum.reduceat(p, cut), np.minimum.reduceat(s, cut), np.maximum.reduceat(c, cut)))
 
-    def search(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Indices of all points whose summed coordinate minima with ``point`` allow a link."""
+    def search(self, point: np.ndarray, size: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of all points whose summed coordinate minima with ``point``, and caps, allow a link; and those sums."""
         at = np.arange(len(self.levels[-1][0]))
+        both = at
         for depth in range(len(self.levels) - 1, -1, -1):
-            p, s = self.levels[depth]
-            at = at[NEED_I * np.minimum(p[at], point).sum(1) >= NEED_S * (s[at] + size)]
+            p, s, c = self.levels[depth]
+            at = at[NEED_I * np.minimum(c[at], cap) >= NEED_S * (s[at] + size)]
+            both = np.minimum(p[at], point).sum(1)
+            ok = NEED_I * both >= NEED_S * (s[at] + size)
+            at, both = at[ok], both[ok]
             if depth:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
                 at = at[at < len(self.levels[depth - 1][0])]
-        return self.order[at]
-
-
-def survivors(index: DataFrame, queries: DataFrame, likeliest: bool = False) -> DataFrame:
-    """Pairs (a, b) of different components in a group that the count vectors allow.
-
-    With ``likeliest``, of each query and block only the pair with the largest bound.
-
-    Both sides have grp, sig, comp, n and vec. Groups are split in blocks of about
-    ``BLOCK`` index rows and each query goes to all blocks of its group; a task holds
-    one block's tree and streams the queries.
+        return self.order[at], both
+
+
+class Points:
+    """Sets of one block: an R-tree for each number of coordinates, and for half of it, which sizes within 3/4 need."""
+
+    def __init__(self, sizes: np.ndarray, caps: np.ndarray, vectors: list[bytes]):
+        self.sizes, self.caps = sizes, caps
+        length = np.fromiter(map(len, vectors), np.int64, len(vectors))
+        self.kinds = {int(g): np.flatnonzero(length == g) for g in np.unique(length)}
+        self.points = {g: counts_of([vectors[i] for i in at.tolist()], sizes[at]) for g, at in self.kinds.items()}
+        self.place = np.empty(len(vectors), np.int64)
+        for at in self.kinds.values():
+            self.place[at] = np.arange(len(at))
+        self.length, self.trees = length, {}
+
+    def tree(self, kind: int, groups: int) -> CountTree:
+        if (kind, groups) not in self.trees:
+            at, p = self.kinds[kind], self.points[kind]
+            self.trees[kind, groups] = CountTree(p if groups == kind else coarser(p), self.sizes[at], self.caps[at])
+        return self.trees[kind, groups]
+
+    def own(self, i: int) -> np.ndarray:
+        return self.points[int(self.length[i])][self.place[i]]
+
+    def search(self, point: np.ndarray, size: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of all sets that may link with a set, and the bounds of their overlap."""
+        g, hits, bounds = len(point), [], []
+        for kind in (g // 2, g, 2 * g):
+            if kind in self.kinds:
+                hit, both = self.tree(kind, min(kind, g)).search(coarser(point) if kind < g else point, size, cap)
+                hits.append(self.kinds[kind][hit])
+                bounds.append(both)
+        return (hits[0], bounds[0]) if len(hits) == 1 else (np.concatenate([*hits, np.zeros(0, np.int64)]), np.concatenate([*bounds, np.zeros(0, np.int64)]))
+
+
+def survivors(rows: DataFrame, likeliest: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components in a group that the count vectors and caps allow, for rows that ask.
+
+    With ``likeliest``, of each row only the pair with the largest bound in its block.
+
+    ``rows`` has grp, sig, comp, n, cap, vec and asks. A task holds one group; groups of
+    over ``BLOCK`` rows are split in blocks, and rows that ask go to the other blocks of
+    their group too, but with ``likeliest``, where any partner will do. ``cap`` bounds the overlap of a pair of which the group's key is the
+    first common one: pairs that have it later in their orders are found in another group.
     """
-    blocks = index.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    some = blocks.filter("blocks > 1")
-    mine = index.join(some, "grp", "left").select("grp", F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), F.lit(0).alias("asks"), "sig", "comp", "n", "vec")
-    theirs = queries.join(some, "grp", "left").select("grp", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), F.lit(1).alias("asks"), "sig", "comp", "n", "vec")
-    rows = mine.unionByName(theirs).repartition("grp", "block").sortWithinPartitions("grp", "block", "asks")
+    some = rows.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks")).filter("blocks > 1")
+    some = some.select("grp", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = rows.withColumn("salt", F.pmod(F.xxhash64("sig", F.lit(1)), F.lit(SALTS)).cast("int")).join(some, ["grp", "salt"], "left")
+    columns = ["grp", "block", "foreign", "sig", "comp", "n", "cap", "asks", "vec"]
+    own = own.withColumn("block", F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1))).cast("int")).withColumn("foreign", F.lit(False))
+    other = own.filter("asks and blocks > 1").drop("foreign").withColumnRenamed("block", "home")
+    other = other.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block <> home").withColumn("foreign", F.lit(True))
+    every = own.select(*columns) if likeliest else own.select(*columns).unionByName(other.select(*columns))
+    dealt = every.repartition("grp", "block").sortWithinPartitions("grp", "block", "foreign")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        now, tree, held = None, None, []
-
-        def build():
-            sig, comp, n, vec = (np.concatenate(x) for x in zip(*held, strict=True))
-            return CountTree(vec, n), sig, comp
+        now, held, block = None, [], None
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+
+        def found(point, n, cap, comp, sig):
+            hit, both = block[0].search(point, n, cap)
+            other = block[2][hit] != comp
+            if not likeliest:
+                other &= ~block[3][hit] | (block[1][hit] > sig)  # of two that ask, one is enough
+            hit, both = hit[other], both[other]
+            if likeliest and len(hit) > 1:
+                hit = hit[[np.argmax(both / (block[0].sizes[hit] + n))]]
+            left.append(np.full(len(hit), sig))
+            right.append(block[1][hit])
+
+        def settle():
+            """Build what is held of a group, and ask its own rows."""
+            nonlocal block
+            sig, comp, n, cap, asks = (np.concatenate(x) for x in zip(*(h[:5] for h in held), strict=True))
+            if len(sig) > 1 or held[0][6]:
+                block = (Points(n, cap, [v for h in held for v in h[5]]), sig, comp, asks)
+                for i in np.flatnonzero(asks).tolist():
+                    found(block[0].own(i), int(n[i]), int(cap[i]), comp[i], sig[i])
+            held.clear()
+
+        def pairs():
+            a, b = np.concatenate([*left, np.zeros(0, np.int64)]), np.concatenate([*right, np.zeros(0, np.int64)])
+            left.clear()
+            right.clear()
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)][: len(a)]
+            return pa.RecordBatch.from_arrays([pa.array(a[new], pa.int64()), pa.array(b[new], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            grp, block, asks, sig, comp, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            vec = counts_of(batch.column(6).to_pylist(), n)
-            new = np.flatnonzero(np.r_[True, (np.diff(grp) != 0) | (np.diff(block) != 0) | (np.diff(asks) != 0)])
-            left: list[np.ndarray] = []
-            right: list[np.ndarray] = []
-            for lo, hi in zip(new, np.r_[new[1:], len(grp)], strict=True):
-                key = (grp[lo], block[lo])
-                if key != now:
-                    now, tree, held = key, None, []
-                if not asks[lo]:
-                    held.append((sig[lo:hi], comp[lo:hi], n[lo:hi], vec[lo:hi]))
+            grp, blk, foreign, sig, comp, n, cap, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+            vec = batch.column(8).to_pylist()
+            new = np.flatnonzero(np.r_[True, (np.diff(grp) != 0) | (np.diff(blk) != 0) | np.diff(foreign)])
+            for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(grp)], strict=True):
+                if (grp[lo], blk[lo]) != now:
+                    if held:
+                        settle()
+                    now, block = (grp[lo], blk[lo]), None
+                if not foreign[lo]:
+                    held.append((sig[lo:hi], comp[lo:hi], n[lo:hi], cap[lo:hi], asks[lo:hi], vec[lo:hi], False))
                     continue
-                if held and tree is None:
-                    tree = build()
-                if tree is None:
-                    continue
-                for i in range(lo, hi):
-                    hit = tree[0].search(vec[i], int(n[i]))
-                    hit = hit[tree[2][hit] != comp[i]]
-                    if likeliest and len(hit) > 1:
-                        points, sizes = tree[0].points[hit], tree[0].sizes[hit]
-                        hit = hit[[np.argmax(np.minimum(points, vec[i]).sum(1) / (sizes + n[i]))]]
-                    left.append(np.full(len(hit), sig[i]))
-                    right.append(tree[1][hit])
-            a, b = np.concatenate([*left, np.zeros(0, np.int64)]), np.concatenate([*right, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def _places(sig: np.ndarray, bits: int) -> np.ndarray:
-    h = mix(sig.view(np.uint64))
+                if held:
+                    held[0] = (*held[0][:6], True)
+                    settle()
+                if block:
+                    for i in range(lo, hi):
+                        found(counts_of([vec[i]], n[i : i + 1])[0], int(n[i]), int(cap[i]), comp[i], sig[i])
+            yield pairs()
+        if held:
+            settle()
+            yield pairs()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    h = mix(ids.view(np.uint64))
     return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)])
 
 
-def membership_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of ``ids(sig)``, summed over tasks; its size doesn't grow with the data."""
+def membership_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of one long column, summed over tasks; beyond ``FILTER_BITS`` it lets more ids pass."""
+    bits = min(FILTER_BITS, 1 << (FILTER_EACH * max(64, ids.count()) - 1).bit_length())
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -224,28 +316,22 @@ def membership_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, members: np.ndarray) -> DataFrame:
-    """(sig, hashes) of the sets that ``members`` may hold, one row each."""
+    """(sig, hashes) of the sets of rows whose ``doc_id`` ``members`` may hold, or is null: a row each."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         seen: set[int] = set()
-        bits = len(members) << 6
         for batch in batches:
-            for w in words_of(batch.column(0)):
-                all_sets = [u for u in shingles(w) if len(u)]
-                sigs = np.array([signature(u) for u in all_sets], np.int64)
-                at = _places(sigs, bits)
-                inside = ((members[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0) if len(sigs) else np.zeros(0, bool)
-                keep = []
-                for i in np.flatnonzero(inside):
-                    if int(sigs[i]) not in seen:
-                        seen.add(int(sigs[i]))
-                        keep.append(i)
-                if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs[keep]), pa.array([all_sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], names=["sig", "hashes"])
+            at = _places(pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False), len(members) << 6)
+            inside = ((members[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
+            texts = batch.column(1).filter(pc.or_(pa.array(inside), pc.is_null(batch.column(0))))
+            for w in words_of(texts):
+                new = list(_new_sets(w, seen))
+                yield pa.RecordBatch.from_arrays([pa.array([sig for _, sig, _ in new], pa.int64()), pa.array([u.view(np.int64) for _, _, u in new], pa.list_(pa.int64()))], names=["sig", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "sig long, hashes array<long>").dropDuplicates(["sig"])
+    return docs.select("doc_id", "text").mapInArrow(run, "sig long, hashes array<long>").dropDuplicates(["sig"])
 
 
 def key_rich(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -263,9 +349,9 @@ def key_rich(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.size(F.array_intersect("ka", "kb")) >= need).select("a", "b")
 
 
-def sets_in(docs: DataFrame, pairs: DataFrame, paths: list[str]) -> DataFrame:
-    """(sig, hashes) of all sets in pairs (and of a few more)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+def sets_in(docs: DataFrame, points: DataFrame, pairs: DataFrame, paths: list[str]) -> DataFrame:
+    """(sig, hashes) of all sets in pairs (and of a few more), from one document each."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(points, "sig").filter("doc_id is not null").select("doc_id")
     sets = stored(sets_of(docs, membership_filter(ids)), "sets", "lz4", paths)
     free_shuffles(docs.sparkSession)
     return sets
@@ -291,15 +377,15 @@ def linking_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     first; a component is done with at its first link.
     """
     sizes = np.array([len(u) for u in sets])
-    points = counts_of([counted(u) for u in sets], sizes)
-    tree, forest, out = CountTree(points, sizes), Forest(len(sets)), []
+    points, forest, out = Points(sizes, sizes, [counted(u) for u in sets]), Forest(len(sets)), []
     for i in range(len(sets)):
-        near = tree.search(points[i], int(sizes[i]))
-        near = near[near < i]
+        near, both = points.search(points.own(i), int(sizes[i]), int(sizes[i]))
+        before = near < i
+        near, both = near[before], both[before]
         roots = np.array([forest.find(j) for j in near.tolist()], np.int64)
         other = roots != forest.find(i)
-        near, roots = near[other], roots[other]
-        order = np.argsort(-np.minimum(points[near], points[i]).sum(1) / (sizes[near] + sizes[i]), kind="stable")
+        near, both, roots = near[other], both[other], roots[other]
+        order = np.argsort(-both / (sizes[near] + sizes[i]), kind="stable")
         done: set[int] = set()
         for j, root in zip(near[order].tolist(), roots[order].tolist(), strict=True):
             if root in done:
@@ -312,13 +398,13 @@ def linking_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def star_links(docs: DataFrame, stars: DataFrame, paths: list[str]) -> DataFrame:
+def star_links(docs: DataFrame, points: DataFrame, stars: DataFrame, paths: list[str]) -> DataFrame:
     """Links (a, b) within the stars (grp, sig) of hubs and their sets.
 
     A set travels once. Stars of many sets, or large ones, are split in blocks, of
     which each has the hub too.
     """
-    sets = sets_in(docs, stars.select(F.col("grp").alias("a"), F.col("sig").alias("b")), paths)
+    sets = sets_in(docs, points, stars.select(F.col("grp").alias("a"), F.col("sig").alias("b")), paths)
     sized = stars.join(sets, "sig").select("grp", "sig", "hashes")
     blocks = stars.join(sets.select("sig", F.size("hashes").alias("n")), "sig").groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(STAR_SETS), F.sum("n") / F.lit(STAR_SHINGLES))).cast("int").alias("blocks"))
     blocks = stored(blocks, "blocks", paths=paths)
@@ -350,20 +436,27 @@ def star_links(docs: DataFrame, stars: DataFrame, paths: list[str]) -> DataFrame
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, paths: list[str]) -> DataFrame:
+def verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, paths: list[str]) -> DataFrame:
     """The pairs whose sets do link."""
-    sets = sets_in(docs, pairs, paths)
+    sets = sets_in(docs, points, pairs, paths)
     side = lambda c: sets.select(F.col("sig").alias(c), F.col("hashes").alias(f"h{c}"))
     both = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(NEED_I * both >= NEED_S * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
-def _spanning(comp: DataFrame, points: DataFrame) -> DataFrame:
-    """The members of groups with a common key that span components, keys with the same members once."""
-    spans = comp.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("h"))
-    spans = spans.groupBy("key").agg(F.sum("k").alias("g"), F.sum("h").alias("h"), F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    spans = spans.filter("comps > 1").groupBy("g", "h").agg(F.min("key").alias("key"), F.min("main").alias("main")).select("key", "main")
-    return comp.join(spans, "key").join(points, "sig").select(F.col("key").alias("grp"), "sig", "comp", "main", "n", "vec")
+def _spanning(members: DataFrame, roots: DataFrame, paths: list[str]) -> DataFrame:
+    """(key, sig, pos, comp, main) of the members of groups that span components; of groups with equal members one.
+
+    That one is the first in the common order of keys, so that its places in the
+    members' orders bound what a pair can share from there on.
+    """
+    comp = members.select("key", "sig", "pos").join(roots.withColumnRenamed("id", "sig"), "sig", "left").select("key", "sig", "pos", F.coalesce("root", "sig").alias("comp"))
+    comp = stored(comp, "member-components", paths=paths)
+    alike = lambda i: F.bit_xor(F.xxhash64("sig", F.lit(i)))
+    spans = comp.groupBy("key", "comp").agg(F.count("*").alias("k"), alike(1).alias("h"), alike(2).alias("i"), F.min(F.struct("sig", "pos")).alias("first"))
+    spans = spans.groupBy("key").agg(F.sum("k").alias("g"), F.bit_xor("h").alias("h"), F.bit_xor("i").alias("i"), F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.min("first").alias("first"))
+    spans = spans.filter("comps > 1").groupBy("g", "h", "i").agg(F.min_by(F.struct("key", "main"), F.col("first.pos")).alias("of")).select("of.key", "of.main")
+    return stored(comp.join(spans, "key").select("key", "sig", "pos", "comp", "main"), "open-groups", paths=paths)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -387,42 +480,41 @@ def classes(docs: DataFrame) -> DataFrame:
         free_shuffles(spark)
 
     late = frequent_shingles(docs)
-    rows = stored(describe(docs.select("doc_id", "text"), late), "shingled", "lz4")
-    points = rows.filter("vec is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
-    points = stored(points, "points", paths=old)
-    keys = rows.filter("keys is not null").select(F.explode("keys").alias("key"), "sig")
-    # A key of one row can't bring sets together; most are. A set's rows of several tasks fall together after.
-    again = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-    members = keys.join(again, "key").distinct()
-    members = stored(members, "members", paths=old)
     free_shuffles(spark)
-    hubs = members.groupBy("key").agg(F.min("sig").alias("hub"), F.max("sig").alias("top")).filter("hub <> top").select("key", "hub")
-    members = stored(members.join(hubs, "key"), "members", paths=old)
+    shingled = stored(describe(docs.select("doc_id", "text"), late), "shingled", "lz4", brief)
+    rows = stored(shingled.select("doc_id", "sig", "n"), "rows")
+    points = shingled.filter("vec is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec"))
+    points = stored(points, "points", paths=old)
+    # A key of one set can't bring sets together; most are. Keys move once, for the count and for the join.
+    keys = shingled.filter("keys is not null").select(F.posexplode("keys").alias("pos", "key"), "sig").repartition("key")
+    hubs = keys.groupBy("key").agg(F.min("sig").alias("hub"), F.max("sig").alias("top")).filter("hub <> top").select("key", "hub")
+    members = stored(keys.join(hubs, "key").distinct(), "members", paths=old)
+    drop(brief)
     prefixes = stored(members.groupBy("sig").agg(F.collect_list("key").alias("ks")).join(points.select("sig", "n"), "sig"), "shared-keys", "lz4", old)
     votes = members.filter("sig <> hub").groupBy("sig", "hub").agg(F.count("*").alias("votes"))
     best = votes.groupBy("sig").agg(F.max_by("hub", F.struct("votes", "hub")).alias("grp"))
-    index = best.join(points, "sig").select("grp", "sig", F.col("sig").alias("comp"), "n", "vec")
-    centres = best.select("grp").distinct().join(points.withColumnRenamed("sig", "grp"), "grp").select("grp", F.col("grp").alias("sig"), F.col("grp").alias("comp"), "n", "vec")
-    meeting = stored(index.unionByName(centres), "stars", paths=brief)
-    first = survivors(meeting, meeting, likeliest=True)
+    best = stored(best, "hubs", paths=old)
+    meeting = best.unionByName(best.select(F.col("grp").alias("sig"), "grp").distinct()).join(points, "sig")
+    meeting = meeting.select("grp", "sig", F.col("sig").alias("comp"), "n", F.col("n").alias("cap"), F.lit(True).alias("asks"), "vec")
+    first = survivors(stored(meeting, "stars", paths=brief), likeliest=True)
     near = first.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     stars = best.join(near, "sig", "left_semi").select("grp", "sig")
-    links = stored(star_links(docs, stored(stars, "stars", paths=brief), brief), "links", paths=old)
+    links = stored(star_links(docs, points, stored(stars, "stars", paths=brief), brief), "links", paths=old)
     roots = stored(components(links), "roots")
 
     drop(brief)
     for whole in (False, True):
         # A first round links what is likeliest, so that a large group is one component before pairs are listed.
-        comp = members.join(roots.withColumnRenamed("id", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("comp"))
-        spanning = stored(_spanning(stored(comp, "member-components", paths=brief), points), "open-groups", paths=brief)
-        rest = survivors(spanning.drop("main"), spanning.filter("comp <> main").drop("main"), likeliest=not whole)
+        members = _spanning(members, roots, old)  # a group that is one component stays one
+        meeting = members.join(points, "sig").select(F.col("key").alias("grp"), "sig", "comp", "n", (F.col("n") - F.col("pos")).alias("cap"), (F.col("comp") != F.col("main")).alias("asks"), "vec")
+        rest = survivors(meeting, likeliest=not whole)
         rest = stored(key_rich(rest, prefixes), "pairs", paths=brief)
         if not rest.isEmpty():
-            links = links.unionByName(stored(verified(docs, rest, brief), "links", paths=old))
+            links = links.unionByName(stored(verified(docs, points, rest, brief), "links", paths=old))
             roots = stored(components(links), "roots")
         drop(brief)
     drop(old)  # all but these two has served
-    return rows.select("doc_id", "sig", "n"), roots
+    return rows, roots
 
 
 def join(docs: DataFrame) -> DataFrame:
