@@ -223,3 +223,65 @@ def test_decimate_marks(spark):
     track = pings(spark, [("a", T0 + i * 120, 55.0, 10.0) for i in range(50)])
     marks = {r.i: r.mark for r in inspect.decimate(track).collect()}
     assert marks == {0: "start", 49: "end"} | {i: "dot" for i in range(2, 48, 2)}
+
+
+def sequential_drift(cand, dist):
+    """A plain model of the drift mode: a pair unseen for too long at the snapshot before starts anew, and must move."""
+    streaks, events, before = {}, [], None
+    for ts in sorted({c[3] for c in cand}):
+        snap = {c[0]: c for c in cand if c[3] == ts}
+        if len(snap) < 2:
+            continue
+        for p in [p for p, s in streaks.items() if before - s["last"] > 0.33 * H]:
+            del streaks[p]
+        for a, b in ((a, b) for a in snap for b in snap if a < b and dist(snap[a], snap[b]) <= 500):
+            s = streaks.setdefault((a, b), {"start": ts, "place": snap[a], "moved": 0, "done": False})
+            s["last"], s["moved"] = ts, max(s["moved"], dist(s["place"], snap[a]))
+            if not s["done"] and ts - s["start"] > 2 * H and s["moved"] > 500:
+                s["done"] = True
+                events.append((a, b, s["start"], ts))
+        before = ts
+    return sorted(events)
+
+
+def test_drift_equals_a_sequential_model(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+
+    def dist(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        s = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371000 * math.asin(math.sqrt(s))
+
+    cand = []
+    for t in range(120):
+        for v in range(6):
+            if rng.random() < 0.85 and not 50 < t < 53:
+                cand.append((f"21900000{v}", 55.0 + v // 2 * 0.5 + (t // 4 % 9) * 0.001 * (v // 2) + rng.choice((0, 0, 0.003)), 10.0, T0 + t * 900))
+    found, _ = met(spark, *cand, mode="drift")
+    want = sequential_drift(cand, dist)
+    assert len(want) > 1
+    assert sorted((r.mmsi1, r.mmsi2, r.ts_start, r.ts_end) for r in found.collect()) == want
+
+
+def test_no_method_is_too_large_to_be_compiled(spark):
+    from tracklens.plans import registry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        for name in ("clean_pings", "rejects_by_reason", "downsample_2min", "all_events", "encounters", "vessel_scores"):
+            plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+            stages = debug.codegenStringSeq(plan).iterator()
+            while stages.hasNext():
+                assert stages.next()._3().maxMethodCodeSize() < 8000, name
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_cap_counts_accepted_rows(spark):
+    rows = [("000000000" if i % 2 else "219000001", T0 + i, 55.0, 10.0, 1.0, 1.0) for i in range(40)]
+    df = pings(spark, rows).selectExpr("*", "'Class A' as mobile", "'Cargo' as ship_type")
+    assert ingest.clean_pings(df, limit=15).count() == 15 and ingest.clean_pings(df).count() == 20

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from tracklens.plans.pipeline import run_pipeline
-from tracklens.sources import ais
+from tracklens.sources import ais, outputs
 from tracklens.operators import ingest, detect
 from tracklens.streaming.tracks import downsample_stream, stream_events
 
@@ -34,6 +34,11 @@ def test_end_to_end(spark, csv, tmp_path, scope):
     assert set(rows) == {"219000001", "219000002"}
     r = rows["219000001"]
     assert (r.A, r.C, r.D, r.points, r.max_gap_hours, r.DFSI) == (1, 1, 0, 2, 5.5, 17.75)
+    assert outputs.read_clean(spark, f"{out}/clean_pings").count() == 3
+    assert sorted(map(str, outputs.read_scores(spark, f"{out}/vessel_scores").collect())) == sorted(map(str, rows.values()))
+    assert outputs.read_counts(spark, f"{out}/loitering_aggregates").count() == 0 == outputs.read_encounters(spark, f"{out}/loitering_events").count()
+    typed = {e.anomaly: e for e in outputs.read_events(spark, f"{out}/all_anomaly_events").collect()}
+    assert (typed["A"].ts_end - typed["A"].ts_start, typed["A"].gap_hours, typed["C"].draught_after) == (19800, 5.5, 7.0)
     events = spark.read.option("header", True).csv(f"{out}/all_anomaly_events").collect()
     assert sorted(e.anomaly for e in events) == ["A", "C"] and events[0].ts_start == "10/12/2025 08:00:00"
     with open(f"{out}/run_metadata.json") as f:

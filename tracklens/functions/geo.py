@@ -47,4 +47,4 @@ def format_ts(seconds: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Drop all leading and trailing white space, not only spaces."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklens.config import DEFAULT, Thresholds
-from tracklens.functions import strip
+from tracklens.functions import computed, strip
 
 
 def rules(df: DataFrame, t: Thresholds = DEFAULT) -> dict[str, Column]:
-    """Reason -> predicate that holds for a good row; never null."""
+    """Reason -> predicate that holds for a good row; a null is a failure."""
     mmsi, lat, lon, sog = (F.col(c) for c in ("mmsi", "lat", "lon", "sog"))
     prefix = reduce(lambda a, b: a | b, (mmsi.startswith(p) for p in t.dirty_prefixes))
     sog_bad = F.col("sog_bad") if "sog_bad" in df.columns else F.lit(False)
@@ -28,23 +28,25 @@ def rules(df: DataFrame, t: Thresholds = DEFAULT) -> dict[str, Column]:
         "position_area": lat.between(t.lat_min, t.lat_max) & lon.between(t.lon_min, t.lon_max),
         "sog": ~sog_bad & (sog.isNull() | F.isnan(sog) | (sog <= t.max_sog)),
     }
-    return {k: F.coalesce(v, F.lit(False)) for k, v in named.items()}
+    return named
 
 
 def is_valid(df: DataFrame, t: Thresholds = DEFAULT) -> Column:
-    return reduce(lambda a, b: a & b, rules(df, t).values())
+    return reduce(lambda a, b: a & b, (v for k, v in rules(df, t).items() if k != "position_missing"))  # a null isn't in any area
 
 
-def clean_pings(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Valid rows with the six columns in use; missing SOG and draught are 0.0."""
+def clean_pings(df: DataFrame, t: Thresholds = DEFAULT, *, limit: int | None = None) -> DataFrame:
+    """Valid rows with the six columns in use; missing SOG and draught are 0.0. ``limit`` caps the accepted rows (for trials)."""
     keep = [c for c in ("seq", "src_file", "src_order") if c in df.columns]
-    return df.filter(is_valid(df, t)).select(*keep, "mmsi", "ts_s", "lat", "lon", F.coalesce("sog", F.lit(0.0)).alias("sog"), F.coalesce("draught", F.lit(0.0)).alias("draught"))
+    good = df.filter(is_valid(df, t)).select(*keep, "mmsi", "ts_s", "lat", "lon", F.coalesce("sog", F.lit(0.0)).alias("sog"), F.coalesce("draught", F.lit(0.0)).alias("draught"))
+    return good if limit is None else good.limit(limit)
 
 
 def rejects(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Bad rows with ``reason``, the first rule that fails."""
-    reason = reduce(lambda acc, kv: F.when(~kv[1], kv[0]).otherwise(acc), reversed(rules(df, t).items()), F.lit(None).cast("string"))
-    return df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    good = F.lit(None).cast("string")
+    reason = reduce(lambda acc, kv: F.when(kv[1], acc).otherwise(kv[0]), reversed(rules(df, t).items()), good)
+    return computed(df.withColumn("reason", reason)).filter(F.col("reason").isNotNull())
 
 
 def rejects_by_reason(df: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

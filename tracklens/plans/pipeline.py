@@ -11,7 +11,7 @@ from tracklens.config import DEFAULT, Thresholds
 from tracklens.functions import format_ts
 from tracklens.operators import detect, encounters, ingest, score
 from tracklens.operators.segments import segments
-from tracklens.sources import ais, sinks
+from tracklens.sources import ais, outputs, sinks
 
 
 def readable(df: DataFrame) -> DataFrame:
@@ -19,17 +19,17 @@ def readable(df: DataFrame) -> DataFrame:
     return df.withColumns({c: format_ts(df[c]) for c in ("ts_start", "ts_end") if c in df.columns})
 
 
-def run_pipeline(spark: SparkSession, glob: str, out: str, *, mode: str = "presence", scope: str = "global", lenient_ts: bool = False, columns: list[str] | None = None, t: Thresholds = DEFAULT) -> DataFrame:
+def run_pipeline(spark: SparkSession, glob: str, out: str, *, mode: str = "presence", scope: str = "global", lenient_ts: bool = False, columns: list[str] | None = None, limit: int | None = None, t: Thresholds = DEFAULT) -> DataFrame:
     """Run all stages; returns the scores as read back.
 
     Each stage that has more than one consumer is written once as Parquet and read
-    again, so that a lost executor costs one stage at most.
+    again, so that a lost executor costs one stage at most. ``limit`` caps the accepted pings.
     """
     began, clock = datetime.now(timezone.utc), time.time()
     raw = ais.parse(ais.read_ais(spark, glob, file_order=scope == "file", columns=columns), lenient_ts=lenient_ts)
-    points = ingest.downsample(ingest.clean_pings(raw, t), scope=scope, t=t).drop("src_file", "src_order")
+    points = ingest.downsample(ingest.clean_pings(raw, t, limit=limit), scope=scope, t=t).drop("src_file", "src_order")
     sinks.write_clean(points, f"{out}/clean_pings")
-    points = spark.read.parquet(f"{out}/clean_pings").drop("event_date")
+    points = outputs.read_clean(spark, f"{out}/clean_pings").drop("event_date")
     sinks.write_parquet(segments(points, t), f"{out}/segments")
     seg = spark.read.parquet(f"{out}/segments")
     sinks.write_csv(readable(detect.all_events(seg)), f"{out}/all_anomaly_events")

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tracklens.functions import haversine_m, hours_between, knots, round_stable
 from tracklens.operators import detect, encounters, ingest, inspect, score
 from tracklens.operators.segments import first_last_ping, segment_metrics, segments
-from tracklens.sources.fixture import raw_pings
+from tracklens.plans.pipeline import readable, run_pipeline
+from tracklens.sources import ais, outputs, sinks
+from tracklens.sources.fixture import drifting, faulty_pings, raw_pings
+from tracklens.sources.scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +59,41 @@ def _pipeline_totals(s: SparkSession, d: str) -> DataFrame:
     return inspect.stage_totals(clean=clean, points=points, events=detect.all_events(seg), candidates=detect.loiter_candidates(seg), scored=_scores(s, d))
 
 
+def _csv(s: SparkSession, d: str) -> str:
+    """The faulty projection as CSV files in the shared folder, as a source that was found."""
+    path = scratch(s, "csv")
+    faulty_pings(s, d).write.option("header", True).csv(path)
+    return f"{path}/*.csv"
+
+
+def _parsed(s: SparkSession, d: str) -> DataFrame:
+    return ais.parse(ais.read_ais(s, _csv(s, d)))
+
+
+def _csv_events(s: SparkSession, d: str) -> DataFrame:
+    """Events of CSV input, written as CSV and read back."""
+    path = scratch(s, "events")
+    sinks.write_csv(readable(detect.all_events(segments(ingest.downsample(ingest.clean_pings(_parsed(s, d)))))), path)
+    return outputs.read_events(s, path)
+
+
+def _job_scores(s: SparkSession, d: str) -> DataFrame:
+    """The whole job over CSV files; its score file read back."""
+    out = scratch(s, "job")
+    run_pipeline(s, _csv(s, d), out)
+    return outputs.read_scores(s, f"{out}/vessel_scores")
+
+
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    seg = _seg(s, d)
+    of = lambda k, df: df.withColumn("anomaly", F.lit(k))
+    return sinks.merge_events(of("A", detect.going_dark(seg)), of("C", detect.draught_change(seg)), of("D", detect.teleport(seg)))
+
+
+def _longest_points(s: SparkSession, d: str) -> DataFrame:
+    return inspect.encounter_segment(_points(s, d), inspect.longest_encounter(_found(s, d)))
+
+
 QUERIES: dict[str, Query] = {
     "geo_functions": _geo,
     "clean_pings": _clean,
@@ -72,7 +110,7 @@ QUERIES: dict[str, Query] = {
     "joint_presence": lambda s, d: encounters.joint_presence(_cand(s, d)),
     "encounters": _found,
     "b_counts": lambda s, d: encounters.b_counts(_found(s, d)),
-    "encounters_drift": lambda s, d: _found(s, d, "drift"),
+    "encounters_drift": lambda s, d: encounters.encounters(drifting(_cand(s, d)), "drift"),
     "vessel_counts": lambda s, d: score.vessel_counts(_seg(s, d)),
     "vessel_scores": _scores,
     "top_vessels": lambda s, d: score.top_vessels(_scores(s, d)),
@@ -84,9 +122,17 @@ QUERIES: dict[str, Query] = {
     "track_overlay": lambda s, d: inspect.track_overlay(detect.all_events(_seg(s, d)), _top1(s, d)),
     "track_centroid": lambda s, d: inspect.track_centroid(_points(s, d)),
     "longest_encounter": lambda s, d: inspect.longest_encounter(_found(s, d)).drop("alive"),
-    "longest_encounter_segment": lambda s, d: inspect.encounter_segment(_points(s, d), inspect.longest_encounter(_found(s, d))),
-    "encounters_of_vessel": lambda s, d: inspect.encounters_of(_found(s, d), "219000004").drop("alive"),
+    "longest_encounter_segment": _longest_points,
+    "segment_centre": lambda s, d: inspect.segment_centre(_longest_points(s, d), _points(s, d)),
+    "encounters_of_vessel": lambda s, d: inspect.encounters_of(_found(s, d), "219000016").drop("alive"),
     "first_jumps": lambda s, d: inspect.first_jumps(detect.all_events(_seg(s, d))),
+    "merged_events": _merged,
+    "map_features": lambda s, d: sinks.point_features(_cand(s, d), "mmsi", "ts_s"),
+    "csv_clean_pings": lambda s, d: ingest.clean_pings(_parsed(s, d)),
+    "csv_rejects_by_reason": lambda s, d: ingest.rejects_by_reason(_parsed(s, d)),
+    "csv_quarantined_draught": lambda s, d: ingest.quarantined_draught(_parsed(s, d)),
+    "csv_events": _csv_events,
+    "job_scores": _job_scores,
 }
 
 _HAV = "2 * 6371000e0 * asin(sqrt(pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))"
@@ -146,8 +192,21 @@ _CTE = {
 }
 
 
-def _sql(body: str) -> str:
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in _CTE.items()) + f"\n{body}"
+def _sql(body: str, **other: str) -> str:
+    """The chain of relations, with ``other`` in place of some, and a query over it."""
+    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in (_CTE | other).items()) + f"\n{body}"
+
+
+#: Text faults of the CSV input, and the two rules that only they break.
+_FAULTY = f"""SELECT seq, CASE WHEN seq % 173 = 0 THEN '111222333' ELSE mmsi END AS mmsi, CASE WHEN seq % 151 <> 0 THEN ts_s END AS ts_s, mobile, ship_type, CASE WHEN seq % 157 <> 0 THEN lat END AS lat, lon,
+  CASE WHEN seq % 163 <> 0 THEN sog ELSE 99e0 END AS sog, CASE WHEN seq % 167 <> 0 THEN draught END AS draught, seq % 167 = 0 AS draught_bad FROM ({_CTE["raw"]})"""
+_CSV = {
+    "raw": _FAULTY,
+    "judged": _CTE["judged"].replace("WHEN mobile <>", "WHEN ts_s IS NULL THEN 'timestamp' WHEN mobile <>").replace("WHEN lat = 0", "WHEN lat IS NULL THEN 'position_missing' WHEN lat = 0"),
+    "points": _CTE["points"].replace("ts_s, seq", "ts_s, lat, lon, sog, draught"),  # files have no number of a row
+}
+_DAILY = f"""SELECT mmsi, min(lat) + CAST(ts_s // 86400 % 32 AS DOUBLE) / 1e2 AS lat, min(lon) AS lon, ts_s // 86400 * 86400 AS ts_s FROM ({_CTE["cand"]}) GROUP BY mmsi, ts_s // 86400"""
+_LONGEST_POINTS = "SELECT p.mmsi, ts_s, lat, lon, sog FROM points p JOIN (SELECT unnest([mmsi1, mmsi2]) AS mmsi, ts_start, ts_end FROM longest) e ON p.mmsi = e.mmsi AND ts_s BETWEEN ts_start AND ts_end"
 
 
 _DECIMATED = """SELECT seq, t.mmsi, ts_s, lat, lon, sog, draught, CASE WHEN sog < 1 THEN 'red' ELSE 'blue' END AS colour, i,
@@ -179,7 +238,7 @@ ORACLE: dict[str, str] = {
     "joint_presence": _sql("SELECT * FROM jp"),
     "encounters": _sql("SELECT * FROM enc"),
     "b_counts": _sql("SELECT * FROM b"),
-    "encounters_drift": _sql(f"SELECT mmsi1, mmsi2, min(s0) AS ts_start, min(ts_s) AS ts_end, {_r('(min(ts_s) - min(s0)) / 3600e0', 2)} AS duration_h, true AS alive FROM drift WHERE ts_s - s0 > 7200 AND drift > 500 GROUP BY mmsi1, mmsi2, grp"),
+    "encounters_drift": _sql(f"SELECT mmsi1, mmsi2, min(s0) AS ts_start, min(ts_s) AS ts_end, {_r('(min(ts_s) - min(s0)) / 3600e0', 2)} AS duration_h, true AS alive FROM drift WHERE ts_s - s0 > 7200 AND drift > 500 GROUP BY mmsi1, mmsi2, grp", cand=_DAILY),
     "vessel_counts": _sql("SELECT mmsi, A, C, D, points FROM per"),
     "vessel_scores": _sql("SELECT * FROM scores"),
     "top_vessels": _sql("SELECT * FROM scores ORDER BY DFSI DESC, mmsi LIMIT 10"),
@@ -191,7 +250,16 @@ ORACLE: dict[str, str] = {
     "track_overlay": _sql("SELECT ev.*, CASE anomaly WHEN 'A' THEN 'red' WHEN 'D' THEN 'purple' ELSE 'orange' END AS colour FROM ev JOIN top1 ON ev.mmsi = top1.mmsi WHERE lat_start IS NOT NULL"),
     "track_centroid": _sql("SELECT mmsi, CAST(sum(CAST(round(lat * 1e6) AS BIGINT)) AS DOUBLE) / count(*) / 1e6 AS lat, CAST(sum(CAST(round(lon * 1e6) AS BIGINT)) AS DOUBLE) / count(*) / 1e6 AS lon, count(*) AS points FROM points GROUP BY mmsi"),
     "longest_encounter": _sql("SELECT * FROM longest"),
-    "longest_encounter_segment": _sql("SELECT p.mmsi, ts_s, lat, lon, sog FROM points p JOIN (SELECT unnest([mmsi1, mmsi2]) AS mmsi, ts_start, ts_end FROM longest) e ON p.mmsi = e.mmsi AND ts_s BETWEEN ts_start AND ts_end"),
-    "encounters_of_vessel": _sql("SELECT mmsi1, mmsi2, ts_start, ts_end, duration_h FROM enc WHERE mmsi1 = '219000004' OR mmsi2 = '219000004'"),
+    "longest_encounter_segment": _sql(_LONGEST_POINTS),
+    "segment_centre": _sql(f"""SELECT lat, lon FROM (SELECT * FROM (SELECT 0 AS p, lat, lon FROM ({_LONGEST_POINTS}) ORDER BY ts_s, mmsi LIMIT 1)
+      UNION ALL SELECT * FROM (SELECT 1, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts_s) - 1 AS i, count(*) OVER (PARTITION BY mmsi) AS n FROM points) WHERE i = n // 2 ORDER BY mmsi LIMIT 1)) ORDER BY p LIMIT 1"""),
+    "encounters_of_vessel": _sql("SELECT mmsi1, mmsi2, ts_start, ts_end, duration_h FROM enc WHERE mmsi1 = '219000016' OR mmsi2 = 'VESSEL'"),
     "first_jumps": _sql("SELECT * FROM ev WHERE anomaly = 'D' ORDER BY ts_start, mmsi, ts_end LIMIT 10"),
+    "merged_events": _sql("SELECT * FROM ev"),
+    "map_features": _sql("""SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || lon || ',' || lat || ']},"properties":{"mmsi":"' || mmsi || '","ts_s":' || ts_s || '}}' AS feature FROM cand"""),
+    "csv_clean_pings": _sql("SELECT mmsi, ts_s, lat, lon, sog, draught FROM clean", **_CSV),
+    "csv_rejects_by_reason": _sql("SELECT reason, count(*) AS n_rows FROM judged WHERE reason IS NOT NULL GROUP BY reason", **_CSV),
+    "csv_quarantined_draught": _sql("SELECT count(*) FILTER (draught_bad) AS n_rows FROM raw", **_CSV),
+    "csv_events": _sql("SELECT * FROM ev", **_CSV),
+    "job_scores": _sql("SELECT * FROM scores", **_CSV),
 }

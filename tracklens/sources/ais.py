@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklens.functions import epoch_seconds, strip
+from tracklens.functions import computed, epoch_seconds, strip
 
 #: The header names of the source files.
 COLUMNS = {
@@ -21,12 +21,12 @@ COLUMNS = {
 }
 
 
-def read_ais(spark: SparkSession, glob: str | list[str], *, limit: int | None = None, file_order: bool = False, columns: list[str] | None = None) -> DataFrame:
+def read_ais(spark: SparkSession, glob: str | list[str], *, file_order: bool = False, columns: list[str] | None = None) -> DataFrame:
     """All-string scan of header CSVs, projected to the eight columns in use.
 
     Header names are read from the first file unless ``columns`` gives them, and a
     glob without a match raises. ``file_order`` adds ``src_file`` and ``src_order``
-    for first-in-file downsampling. ``limit`` caps the rows (for trials).
+    for first-in-file downsampling.
     """
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
     if columns:
@@ -35,8 +35,7 @@ def read_ais(spark: SparkSession, glob: str | list[str], *, limit: int | None =
     picked = [F.col(f"`{name}`").cast("string").alias(alias) for name, alias in COLUMNS.items()]
     if file_order:
         picked += [F.col("_metadata.file_path").alias("src_file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("src_order")]
-    out = raw.select(*picked)
-    return out.limit(limit) if limit is not None else out
+    return raw.select(*picked)
 
 
 def parse(raw: DataFrame, *, lenient_ts: bool = False) -> DataFrame:
@@ -52,7 +51,7 @@ def parse(raw: DataFrame, *, lenient_ts: bool = False) -> DataFrame:
     blank = lambda c: F.coalesce(strip(F.col(c)), F.lit("")) == ""
     ts = F.try_to_timestamp(text, F.lit("dd/MM/yyyy HH:mm:ss")).cast("timestamp_ntz")
     keep = [c for c in ("src_file", "src_order") if c in raw.columns]
-    return raw.select(
+    typed = raw.select(
         strip(F.col("mmsi")).alias("mmsi"),
         "timestamp_str",
         epoch_seconds(ts).alias("ts_s"),
@@ -66,3 +65,4 @@ def parse(raw: DataFrame, *, lenient_ts: bool = False) -> DataFrame:
         (~blank("draught_text") & number("draught_text").isNull()).alias("draught_bad"),
         *keep,
     )
+    return computed(typed)
