@@ -268,17 +268,32 @@ def test_one_of_each(spark, odd):
     got = sorted(r.doc_id for r in jaccard.one_of_each(df).collect())
     assert got == sorted({c for _, n, c in plain_components(rows) if n} | {1, 2})
     assert jaccard.one_of_each(odd).columns == odd.columns
+    clash = df.selectExpr("doc_id", "text", "1 as _sig", "2 as _SIG_", "3 as sig", "4 as gone")
+    assert sorted(r.doc_id for r in jaccard.one_of_each(clash).collect()) == got
 
 
-def test_count_tree_loses_nothing():
+def test_points_lose_nothing():
     rng = np.random.default_rng(3)
-    points = rng.poisson(2, (700, jaccard.GROUPS))
-    points[350:] = points[:350] + rng.poisson(0.1, (350, jaccard.GROUPS))
-    sizes = points.sum(1)
-    tree = jaccard.CountTree(points, sizes)
-    for i in range(0, 700, 13):
-        want = np.flatnonzero(7 * np.minimum(points, points[i]).sum(1) >= 3 * (sizes + sizes[i]))
-        assert sorted(tree.search(points[i], int(sizes[i]))) == want.tolist()
+    sets = []
+    for size in (30, 200, 480, 520, 700, 1000, 1100, 4000, 9000):
+        for _ in range(25):
+            base = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
+            for gone in (0, size // 9, size // 5, size // 4):
+                sets.append(np.unique(base[gone:]))
+    sizes = np.array([len(u) for u in sets])
+    caps = sizes - rng.integers(0, 1 + sizes // 4)
+    points = jaccard.Points(sizes, caps, [jaccard.counted(u) for u in sets])
+    assert len(points.kinds) > 4
+    pruned = 0
+    for i in range(0, len(sets), 7):
+        hit, both = points.search(points.own(i), int(sizes[i]), int(caps[i]))
+        bound = dict(zip(hit.tolist(), both.tolist(), strict=True))
+        for j in range(len(sets)):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            if 7 * min(k, caps[i], caps[j]) >= 3 * (sizes[i] + sizes[j]):
+                assert bound[j] >= k
+        pruned += len(sets) - len(bound)
+    assert pruned > 0.9 * len(sets) * len(range(0, len(sets), 7))
 
 
 def test_components(spark):

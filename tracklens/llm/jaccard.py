@@ -553,20 +553,25 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Texts without words stay. Of equal rows of one id one stays.
     """
     at, columns = docs.columns.index("text"), docs.columns
+    own = "_sig"
+    while own.lower() in (c.lower() for c in columns):
+        own += "_"
     rows, roots = classes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")))
     kept = _by_set(rows, roots, F.min("kept").alias("kept"), ["kept"])
-    gone = _salted(rows).join(kept, ["sig", "salt"]).filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("sig") == F.col("kept.sig")))).select(F.col("doc_id").alias("_gone_id"), F.col("sig").alias("_gone_sig")).distinct()
-    gone = stored(gone, "gone")
+    gone = _salted(rows).join(kept, ["sig", "salt"]).filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("sig") == F.col("kept.sig")))).select("doc_id", "sig").distinct()
+    gone = stored(gone, "gone").alias("gone")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             sigs = [signature(u) if len(u) else None for w in words_of(batch.column(at)) for u in shingles(w)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.int64())], names=[*columns, "_sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.int64())], names=[*columns, own])
 
-    signed = docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _sig long")
-    left = signed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_sig") == F.col("_gone_sig")), "left_anti")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    signed = docs.mapInArrow(run, f"{schema}, {own} long").alias("signed")
+    same = F.col("signed.doc_id").cast("long").eqNullSafe(F.col("gone.doc_id")) & (F.col(f"signed.{own}") == F.col("gone.sig"))
+    left = signed.join(gone, same, "left_anti")
     if not rows.filter("sig is not null").groupBy("doc_id", "sig").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
-        left = left.filter("_sig is null").unionByName(left.filter("_sig is not null").dropDuplicates(["doc_id", "_sig"]))
-    return left.select(*columns)
+        left = left.filter(f"{own} is null").unionByName(left.filter(f"{own} is not null").dropDuplicates(["doc_id", own]))
+    return left.select(*(f"`{c}`" for c in columns))
