@@ -9,22 +9,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import one_blas_thread, some_of, stored
+from tracklens.llm.common import one_blas_thread, stored
 from tracklens.llm.words import Words, words_of
 
 STATES = 8
 #: Passes of Baum-Welch over all training texts.
-PASSES = 2
+PASSES = 4
+#: Weight of staying in a state at first, against some 0.4 of moving to each other one: states that last find topics and languages in few passes.
+STAY = 100.0
 #: Words whose counts are sent to all tasks, at most (16 bytes each); rarer ones are joined.
 HEAD = 100_000
 #: Words with emission parameters of their own, at most, and the least count of one.
 OWN, OWN_COUNT = 16_000, 5
 #: Other words share emissions by the last two letters; words of a class are told apart by their counts.
 BUCKETS = 256
-#: Bounded sample from which training starts: texts, characters of each, passes.
-SEED_TEXTS, SEED_CHARS, SEED_PASSES = 1500, 4000, 20
-#: Tokens of a training sequence; longer texts are cut, with a start distribution for later pieces.
-SEQUENCE = 128
+#: Tokens whose states a task holds at once, and tokens that it gathers before it runs over them.
+CELLS, GATHERED = 1 << 20, 1 << 22
 #: Weight, in tokens, of the unigram prior of each state's emissions.
 PRIOR = 500.0
 END = np.uint64(0x9E3779B97F4A7C00)
@@ -126,7 +126,7 @@ def lexicon(counts: DataFrame, head: int = HEAD, own: int = OWN, own_count: int
 
 @dataclass
 class Model:
-    start: np.ndarray  # (2, K): at a text's first token, at a later training sequence's
+    start: np.ndarray  # (K,)
     move: np.ndarray  # (K, K)
     emit: np.ndarray  # (K, classes)
 
@@ -134,71 +134,86 @@ class Model:
     def initial(lex: Lexicon, states: int, seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
         base = lex.mass / lex.mass.sum()
-        emit = base * rng.gamma(4.0, 0.25, (states, len(base)))
-        move = np.eye(states) * 2 + rng.random((states, states)) * 0.2 + 0.3
-        return Model(np.full((2, states), 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        emit = base * (rng.gamma(1.0, 1.0, (states, len(base))) + 0.001)
+        move = np.eye(states) * STAY + rng.random((states, states)) * 0.2 + 0.3
+        return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
     @staticmethod
     def maximised(counts: Counts, lex: Lexicon, prior: float = PRIOR) -> Model:
         base = lex.mass / lex.mass.sum()
         start, move = counts.start + 0.1, counts.move + 0.1
         emit = counts.emit + prior * base
-        return Model(start / start.sum(1, keepdims=True), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
 class Counts:
     """Expected starts, moves and emissions."""
 
     def __init__(self, states: int, classes: int):
-        self.start, self.move, self.emit, self.log = np.zeros((2, states)), np.zeros((states, states)), np.zeros((states, classes)), 0.0
+        self.start, self.move, self.emit, self.log = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes)), 0.0
 
-    def add(self, model: Model, tok: np.ndarray, bounds: np.ndarray, block: int = 4096) -> None:
-        """Forward-backward over all texts of a batch, cut to sequences."""
+    def add(self, model: Model, tok: np.ndarray, bounds: np.ndarray) -> None:
+        """Forward-backward over whole texts, those of like length side by side."""
         n = np.diff(bounds)
-        pieces = -(-n // SEQUENCE)
-        text = np.repeat(np.arange(len(n)), pieces)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        at = bounds[text] + nth * SEQUENCE
-        length = np.minimum(n[text] - nth * SEQUENCE, SEQUENCE)
-        order = np.argsort(-length, kind="stable")
-        for i in range(0, len(order), block):
-            part = order[i : i + block]
-            self._block(model, tok, at[part], length[part], (nth[part] > 0).astype(np.int64))
-
-    def _block(self, model: Model, tok: np.ndarray, at: np.ndarray, length: np.ndarray, kind: np.ndarray) -> None:
-        k, steps, n = len(model.move), int(length[0]), len(at)
-        active = np.searchsorted(-length, -np.arange(steps), "left")  # sequences longer than t
-        index = np.minimum(at[None, :] + np.arange(steps)[:, None], len(tok) - 1)
-        held = np.arange(steps)[:, None] < length[None, :]
-        seq = np.where(held, tok[index], 0)
+        order = np.argsort(-n, kind="stable")[: int((n > 0).sum())]
+        i = 0
+        while i < len(order):
+            part = order[i : i + max(1, CELLS // int(n[order[i]]))]
+            self._texts(model, tok, bounds[part], n[part])
+            i += len(part)
+
+    def _texts(self, model: Model, tok: np.ndarray, at: np.ndarray, length: np.ndarray) -> None:
+        """Texts by falling length. One of more than ``CELLS`` tokens is run in parts: states at their starts first, then backwards, part by part."""
+        size = max(1, CELLS // len(at))
+        cuts = [*range(0, int(length[0]), size), int(length[0])]
+        entry: list[np.ndarray | None] = [None]
+        for lo, hi in zip(cuts[:-2], cuts[1:-1], strict=True):
+            entry.append(self._forward(model, tok, at, length, lo, hi, entry[-1])[1][:, -1])
+        beta = np.ones((len(model.move), len(at)), np.float32)
+        for lo, hi, a in reversed(list(zip(cuts[:-1], cuts[1:], entry, strict=True))):
+            beta = self._part(model, tok, at, length, lo, hi, a, beta)
+
+    @staticmethod
+    def _forward(model: Model, tok: np.ndarray, at: np.ndarray, length: np.ndarray, lo: int, hi: int, a: np.ndarray | None) -> tuple:
+        """(emissions, scaled states, scales, classes, number of texts longer than t) of the tokens lo .. hi."""
+        steps, n = hi - lo, len(at)
+        active = np.searchsorted(-length, -np.arange(lo, hi), "left")
+        t_of = np.arange(lo, hi)[:, None]
+        seq = np.where(t_of < length, tok[np.minimum(at + t_of, len(tok) - 1)], 0)
         move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
         e = np.maximum(emit[:, seq], np.float32(1e-30))  # (K, steps, n)
-        alpha = np.zeros((k, steps, n), np.float32)
+        alpha = np.zeros((len(move), steps, n), np.float32)
         scale = np.ones((steps, n), np.float32)
-        a = model.start[kind].T.astype(np.float32) * e[:, 0]
         for t in range(steps):
             m = active[t]
-            if t:
-                a = (move.T @ a[:, :m]) * e[:, t, :m]
+            a = model.start.astype(np.float32)[:, None] * e[:, 0] if a is None else (move.T @ a[:, :m]) * e[:, t, :m]
             scale[t, :m] = a.sum(0)
             a = a / scale[t, :m]
             alpha[:, t, :m] = a
+        return e, alpha, scale, seq, active
+
+    def _part(self, model: Model, tok: np.ndarray, at: np.ndarray, length: np.ndarray, lo: int, hi: int, entry: np.ndarray | None, beta: np.ndarray) -> np.ndarray:
+        """Add the counts of the tokens lo .. hi, and of the moves into them; ``beta`` is that of the last, the one before lo is returned."""
+        e, alpha, scale, seq, active = self._forward(model, tok, at, length, lo, hi, entry)
+        move = model.move.astype(np.float32)
         self.log += float(np.log10(scale.astype(np.float64)).sum())
-        beta = np.ones((k, n), np.float32)
-        for t in range(steps - 2, -1, -1):
-            m = active[t + 1]
-            b = e[:, t + 1, :m] * beta[:, :m] / scale[t + 1, :m]
-            self.move += (alpha[:, t, :m] @ b.T).astype(np.float64) * model.move
-            beta[:, :m] = move @ b
+        for t in range(hi - lo - 1, -1, -1):
+            m = active[t]
+            b = e[:, t, :m] * beta[:, :m] / scale[t, :m]
             alpha[:, t, :m] *= beta[:, :m]
-        for x in (0, 1):
-            self.start[x] += alpha[:, 0, kind == x].sum(1, dtype=np.float64)
+            before = alpha[:, t - 1, :m] if t else entry
+            if before is not None:
+                self.move += (before[:, :m] @ b.T).astype(np.float64) * model.move
+                beta[:, :m] = move @ b
+        if lo == 0:
+            self.start += alpha[:, 0].sum(1, dtype=np.float64)
         flat = seq.ravel()
-        for s in range(k):
+        for s in range(len(move)):
             self.emit[s] += np.bincount(flat, weights=alpha[s].ravel(), minlength=self.emit.shape[1])
+        return beta
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row number, values by state): classes with counts, then starts, moves and the likelihood from -1 on down."""
+        """(row number, values by state): classes with counts, then start, moves and the likelihood from -1 on down."""
         k = len(self.move)
         used = np.flatnonzero(self.emit.any(0))
         extra = np.vstack([self.start, self.move, np.full((1, k), self.log / k)])
@@ -210,10 +225,10 @@ class Counts:
         for r, v in zip(numbers.tolist(), values, strict=True):
             if r >= 0:
                 out.emit[:, r] = v
-            elif r >= -2:
-                out.start[-1 - r] = v
-            elif r >= -2 - states:
-                out.move[-3 - r] = v
+            elif r == -1:
+                out.start = v
+            elif r >= -1 - states:
+                out.move[-2 - r] = v
             else:
                 out.log = float(v.sum())
         return out
@@ -227,11 +242,24 @@ def expected_counts(docs: DataFrame, lex: Lexicon, model: Model) -> Counts:
         import pyarrow as pa
 
         one_blas_thread()
-        total = Counts(k, classes)
+        total, held, n = Counts(k, classes), [], 0
+
+        def add():
+            tok = np.concatenate([t for t, _ in held])
+            begin = np.cumsum([0] + [len(t) for t, _ in held])
+            total.add(model, tok, np.concatenate([*(b[:-1] + o for (_, b), o in zip(held, begin, strict=False)), begin[-1:]]))
+            held.clear()
+
         for batch in batches:
             for w in words_of(batch.column(0)):
                 keys, bounds = token_keys(w)
-                total.add(model, lex.encode(keys)[0], bounds)
+                held.append((lex.encode(keys)[0], bounds))
+                n += len(keys)
+                if n >= GATHERED:
+                    add()
+                    n = 0
+        if held:
+            add()
         numbers, values = total.rows()
         yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), *(pa.array(values[:, i]) for i in range(k))], names=["row", *(f"s{i}" for i in range(k))])
 
@@ -253,7 +281,7 @@ def forward(model: Model, tok: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     for t in range(steps):
         m = active[t]
         e = model.emit[:, tok[at[:m] + t]]
-        a = (back @ a[:, :m]) * e if t else model.start[0][:, None] * e
+        a = (back @ a[:, :m]) * e if t else model.start[:, None] * e
         s = a.sum(0)
         a /= s
         out[:m] += np.log10(s)
@@ -262,25 +290,9 @@ def forward(model: Model, tok: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return result
 
 
-def train(docs: DataFrame, lex: Lexicon, states: int = STATES, passes: int = PASSES, sample_key: Column | None = None) -> Model:
-    """Start from a bounded sample on the driver, then pass over all training texts."""
-    import pyarrow as pa
-
-    key = F.xxhash64("text") if sample_key is None else sample_key
-    at = F.pmod(key, F.greatest(F.lit(1), F.length("text") - SEED_CHARS)).cast("int") + 1
-    ends = np.flatnonzero(lex.keys == END)
-    texts = int(lex.counts[ends[0]]) if len(ends) else 0
-    seeds = docs.filter("text is not null").filter(some_of(key, SEED_TEXTS, texts)).select(key.alias("k"), F.substring(F.col("text"), at, F.lit(SEED_CHARS)).alias("text")).distinct().orderBy("k", "text").limit(SEED_TEXTS).toArrow()
+def train(docs: DataFrame, lex: Lexicon, states: int = STATES, passes: int = PASSES) -> Model:
+    """Baum-Welch: every pass runs over all training texts, whole ones."""
     model = Model.initial(lex, states)
-    encoded = []
-    for w in words_of(seeds["text"].combine_chunks() if seeds.num_rows else pa.array([], pa.string())):
-        keys, bounds = token_keys(w)
-        encoded.append((lex.encode(keys)[0], bounds))
-    for _ in range(SEED_PASSES if encoded else 0):
-        total = Counts(states, len(lex.mass))
-        for tok, bounds in encoded:
-            total.add(model, tok, bounds)
-        model = Model.maximised(total, lex)
     for _ in range(passes if lex.tokens else 0):
         model = Model.maximised(expected_counts(docs, lex, model), lex)
     return model
