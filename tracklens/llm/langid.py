@@ -16,8 +16,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 #: The training sample: windows a language and in all, at most; characters of a window; epochs.
 SAMPLE_EACH, SAMPLE_ALL, SAMPLE_CHARS, EPOCHS = 2000, 12_000, 220, 14
-#: Windows that are convolved at once.
-BLOCK = 256
+#: Windows that are convolved at once, and bytes of texts that are windowed at once.
+BLOCK, AT_ONCE = 256, 4 << 20
 UNDETERMINED = "und"
 #: Probability below which a prediction is a guess.
 KEPT_SCORE = 0.4
@@ -43,14 +43,17 @@ class Network:
         return np.hstack([pair(two, 0), pair(three, 0), pair(four, 0)]), np.hstack([third, pair(four, 2)])
 
     def features(self, windows: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Rectified maximum of each filter over each window of (n, WINDOW) bytes."""
+        """Rectified maximum of each filter over all its positions in each window of (n, WINDOW) bytes."""
         out = np.empty((len(windows), len(self.shift)), np.float32)
         head, tail = tables
         for i in range(0, len(windows), BLOCK):
-            w = windows[i : i + BLOCK].astype(np.int32)
+            # A byte more, so that each place has a pair after it; sums of wider filters that reach over the end don't count.
+            w = np.pad(windows[i : i + BLOCK].astype(np.int32), ((0, 0), (0, 1)))
             pairs = w[:, :-1] * 256 + w[:, 1:]
-            g = head[pairs[:, :-2]]
-            g[:, :, FILTERS:] += tail[pairs[:, 2:]]
+            g = head[pairs[:, : WINDOW - 1]]
+            g[:, : WINDOW - 2, FILTERS:] += tail[pairs[:, 2:]]
+            for k, width in enumerate(WIDTHS):
+                g[:, WINDOW - width + 1 :, k * FILTERS : (k + 1) * FILTERS] = -np.inf
             out[i : i + BLOCK] = g.max(1)
         return np.maximum(out + self.shift, 0)
 
@@ -58,13 +61,13 @@ class Network:
         return self.features(windows, tables) @ self.dense + self.bias
 
 
-def windows_of(text: bytes) -> np.ndarray:
-    """The whole text in consecutive windows, the last filled with blanks."""
-    b = SEEN[np.frombuffer(text, np.uint8)]
-    n = max(1, -(-len(b) // WINDOW))
-    out = np.full(n * WINDOW, 32, np.uint8)
-    out[: len(b)] = b
-    return out.reshape(n, WINDOW)
+def windows_of(*texts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Whole texts in consecutive windows, the last of each filled with blanks; and the bounds of each text's windows."""
+    first = np.cumsum([0] + [max(1, -(-len(t) // WINDOW)) for t in texts])
+    out = np.full(first[-1] * WINDOW, 32, np.uint8)
+    for t, at in zip(texts, first.tolist(), strict=False):
+        out[at * WINDOW : at * WINDOW + len(t)] = SEEN[np.frombuffer(t, np.uint8)]
+    return out.reshape(-1, WINDOW), first
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 11) -> Network:
@@ -75,7 +78,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 11
     net = Network(names, [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS], np.zeros(n_filters, np.float32), rng.normal(0, 0.3, (n_filters, len(names))).astype(np.float32), np.zeros(len(names), np.float32))
     if not names:
         return net
-    x = np.concatenate([windows_of(t.encode()[:WINDOW]) for t in texts])
+    x = windows_of(*(t.encode()[:WINDOW] for t in texts))[0]
     y = np.searchsorted(names, langs)
     weight = (len(y) / (len(names) * np.bincount(y, minlength=len(names))))[y].astype(np.float32)
     params = [*net.filters, net.shift, net.dense, net.bias]
@@ -119,28 +122,37 @@ def sample(docs: DataFrame, training: Column) -> tuple[list[str], list[str]]:
     """Windows of labelled training texts: a bounded, hash-ordered sample, even over languages."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("k"), training.alias("training"))
     rows = rows.filter(F.col("training") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    # Labels are few by nature, a row each.
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not sizes:
         return [], []
-    least = F.lit(0)
-    for lang, n in sizes.items():
-        least = F.when(F.col("lang") == lang, F.lit(int(min(1.0, SAMPLE_EACH / n) * (2**31 - 1)))).otherwise(least)
-    rows = rows.filter(F.pmod("k", F.lit(2**31 - 1)) <= least)
+    least = F.map_from_arrays(F.array(*(F.lit(r.lang) for r in sizes)), F.array(*(F.lit(int(min(1.0, SAMPLE_EACH / r.n) * (2**31 - 1))) for r in sizes)))
+    rows = rows.filter(F.pmod("k", F.lit(2**31 - 1)) <= F.element_at(least, F.col("lang")))
     at = F.pmod(F.xxhash64("k"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int") + 1
     got = rows.select("k", "lang", F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("text")).orderBy("k", "lang", "text").limit(SAMPLE_ALL).collect()
     return [r.text for r in got], [r.lang for r in got]
 
 
-def told(text: str, net: Network, tables: tuple[np.ndarray, np.ndarray]) -> tuple[str, float]:
-    """(language, probability) of a whole text. Its logits are the mean of its windows', weighted by their letters."""
-    if not net.langs or not any(map(str.isalpha, text)):
-        return UNDETERMINED, 0.0
-    w = windows_of(text.encode())
-    letters = (w != 32).sum(1)
-    z = (net.logits(w, tables) * letters[:, None]).sum(0) / max(1, letters.sum())
-    p = np.exp(z - z.max())
-    p /= p.sum()
-    return net.langs[int(p.argmax())], float(p.max())
+def told(texts: list[str], net: Network, tables: tuple[np.ndarray, np.ndarray]) -> list[tuple[str, float]]:
+    """(language, probability) of whole texts. A text's logits are the mean of its windows', weighted by their letters."""
+    out = [(UNDETERMINED, 0.0)] * len(texts)
+    lettered = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if net.langs else []
+    raw = [texts[i].encode() for i in lettered]
+    upto = np.cumsum([len(r) for r in raw])
+    begin = 0
+    while begin < len(raw):
+        # So many texts at once that their bytes are about AT_ONCE.
+        stop = max(begin + 1, int(np.searchsorted(upto, upto[begin] + AT_ONCE)))
+        w, first = windows_of(*raw[begin:stop])
+        letters = (w != 32).sum(1)
+        z = np.add.reduceat(net.logits(w, tables) * letters[:, None], first[:-1])
+        z /= np.maximum(1, np.add.reduceat(letters, first[:-1]))[:, None]
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        for i, k, best in zip(lettered[begin:stop], p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
+            out[i] = net.langs[k], best
+        begin = stop
+    return out
 
 
 def predict(docs: DataFrame, net: Network, carry: list[str]) -> DataFrame:
@@ -154,7 +166,7 @@ def predict(docs: DataFrame, net: Network, carry: list[str]) -> DataFrame:
         one_blas_thread()
         tables = net.tables()
         for batch in batches:
-            got = [told(t.as_py() or "", net, tables) for t in batch.column(len(carry))]
+            got = told([t or "" for t in batch.column(len(carry)).to_pylist()], net, tables)
             langs, scores = zip(*got, strict=True) if got else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
 
@@ -178,7 +190,8 @@ def with_language(docs: DataFrame, held_out: Column, least: float = KEPT_SCORE)
     """The rows of ``docs``, all columns, whose language is told with a probability of ``least``.
 
     Null texts and texts without a letter go. If no row is labelled nothing can be
-    told, and only those go.
+    told, and only those go. Null ids and repeated rows are judged by their texts alike;
+    an empty table gives no rows.
     """
     net = fit(*sample(docs, ~held_out))
     at = docs.columns.index("text")
@@ -189,8 +202,8 @@ def with_language(docs: DataFrame, held_out: Column, least: float = KEPT_SCORE)
         one_blas_thread()
         tables = net.tables()
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(at)]
-            keep = [told(t, net, tables)[1] >= least if net.langs else any(map(str.isalpha, t)) for t in texts]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            keep = [score >= least for _, score in told(texts, net, tables)] if net.langs else [any(map(str.isalpha, t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
