@@ -120,7 +120,7 @@ def test_forward_equals_summed_paths_and_is_a_distribution():
     tok = np.array([1, 2, 0, 7])
     want = 0.0
     for path in itertools.product(range(3), repeat=4):
-        p = m.start[0][path[0]] * m.emit[path[0], tok[0]]
+        p = m.start[path[0]] * m.emit[path[0], tok[0]]
         for i in range(1, 4):
             p *= m.move[path[i - 1], path[i]] * m.emit[path[i], tok[i]]
         want += p
@@ -135,7 +135,7 @@ def test_baum_welch_counts_equal_enumeration_and_raise_likelihood():
     tok = np.array([1, 2, 0, 3, 3, 1])
     c = hmm.Counts(2, len(lex.mass))
     c.add(m, tok, np.array([0, 4, 6]))
-    assert c.emit.sum() == pytest.approx(6, rel=1e-4) and c.move.sum() == pytest.approx(4, rel=1e-4) and c.start[0].sum() == pytest.approx(2, rel=1e-4)
+    assert c.emit.sum() == pytest.approx(6, rel=1e-4) and c.move.sum() == pytest.approx(4, rel=1e-4) and c.start.sum() == pytest.approx(2, rel=1e-4)
     assert c.emit[:, 3].sum() == pytest.approx(2, rel=1e-4)
     assert c.log == pytest.approx(hmm.forward(m, tok, np.array([0, 4, 6])).sum(), rel=1e-4)
     logs = []
@@ -168,14 +168,51 @@ def test_language_identification(spark, odd, docs):
 def test_network_windows_cover_whole_texts():
     net = langid.fit(["der die und das ist " * 11, "the and of that is to " * 10] * 20, ["de", "en"] * 20, epochs=6)
     tables = net.tables()
-    w = langid.windows_of(("the and of that " * 64).encode())
-    assert w.shape == (4, 256)
-    slow = []
-    for f, width in zip(net.filters, langid.WIDTHS, strict=True):
-        x = w[0].astype(int)
-        slow.append(np.array([sum(f[j][x[i + j]] for j in range(width)) for i in range(253)]).max(0))
-    assert np.allclose(net.features(w[:1], tables)[0], np.maximum(np.hstack(slow) + net.shift, 0), atol=1e-4)
-    assert langid.told("the and of that is", net, tables)[0] == "en" and langid.told("der die und das ist", net, tables)[0] == "de"
+    w, first = langid.windows_of(("the and of that " * 64).encode(), b"", b"x" * 257)
+    assert w.shape == (7, 256) and first.tolist() == [0, 4, 5, 7]
+    rng = np.random.default_rng(4)
+    w = np.vstack([w, rng.choice(np.unique(langid.SEEN), (300, 256)).astype(np.uint8)])
+    for row, got in zip(w, net.features(w, tables), strict=True):
+        slow, x = [], row.astype(int)
+        for f, width in zip(net.filters, langid.WIDTHS, strict=True):
+            slow.append(sum(f[j][x[j : j + 256 - width + 1]] for j in range(width)).max(0))
+        assert np.allclose(got, np.maximum(np.hstack(slow) + net.shift, 0), atol=1e-4)
+    texts = ["the and of that is", "", "der die und das ist", "12 !!", "the and of that is der " * 400]
+    got = langid.told(texts, net, tables)
+    assert [x[0] for x in got[:4]] == ["en", "und", "de", "und"]
+
+
+def test_language_of_texts_equals_a_plain_network(spark, odd, docs):
+    """The whole query against windows, sums and means written out one by one."""
+    for df in (docs, odd):
+        held = fold(df.doc_id, 5) == 0
+        net = langid.fit(*langid.sample(df, ~held))
+        want = []
+        for r in df.select("doc_id", "text").collect():
+            t = r.text or ""
+            if not any(c.isalpha() for c in t):
+                want.append((r.doc_id, "und", 0.0))
+                continue
+            b = bytes(langid.SEEN[c] for c in t.encode())
+            z, n = np.zeros(len(net.langs)), 0
+            for i in range(0, max(1, len(b)), 256):
+                x = np.frombuffer(b[i : i + 256].ljust(256), np.uint8).astype(int)
+                h = np.hstack([sum(f[j][x[j : 257 - width + j]] for j in range(width)).max(0) for f, width in zip(net.filters, langid.WIDTHS, strict=True)])
+                letters = int((x != 32).sum())
+                z += letters * (np.maximum(h + net.shift, 0) @ net.dense + net.bias)
+                n += letters
+            p = np.exp(z / max(1, n) - (z / max(1, n)).max())
+            want.append((r.doc_id, net.langs[int(p.argmax())], float(p.max() / p.sum())))
+        got = sorted(((r.doc_id, r.lang_pred, r.score) for r in langid.identify(df, held).collect()), key=repr)
+        want.sort(key=repr)
+        assert [g[:2] for g in got] == [x[:2] for x in want]
+        assert np.allclose([g[2] for g in got], [x[2] for x in want], atol=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 1100) * 9} word", f"l{i % 1100:04d}") for i in range(2200)]
+    texts, langs = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(set(langs)) == 1100 and len(texts) == 2200
 
 
 def test_quality(spark, odd, docs):
@@ -190,6 +227,49 @@ def test_quality(spark, odd, docs):
     assert quality.assess(empty(docs), labels, F.lit(False)).count() == 0
 
 
+def plain_statistics(text):
+    share = lambda x: math.log((min(max(x, 0), 1) + 0.002) / (1.002 - min(max(x, 0), 1)))
+    raw, ws = (text or "").encode(), [x.encode() for x in WORD.findall(text or "")]
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    digit = lambda b: 48 <= b <= 57
+    odd = lambda b: b in quality.SIGNS and b not in quality.PROSE_SIGNS
+    n, size = max(1, len(ws)), max(1, sum(map(len, ws)))
+    every = [b for x in ws for b in x]
+    low = [bytes(b + 32 if 65 <= b <= 90 else b for b in x) for x in ws]
+    times = Counter(low)
+    lines = [x for x in (text or "").split("\n") if x.strip()]
+    return [
+        math.log1p(len(ws)), math.log(size / n), share(sum(65 <= b <= 90 for b in every) / max(1, sum(map(letter, every)))), share(sum(map(digit, every)) / size), share(sum(map(odd, every)) / size),
+        math.log((sum(b in quality.STOPS for b in every) + 0.5) / n), share(sum(not any(letter(b) or digit(b) for b in x) for x in ws) / n),
+        share(sum(any(map(letter, x)) and any(digit(b) or odd(b) for b in x) for x in ws) / n), share(sum(len(x) > 18 for x in ws) / n),
+        share(sum(any(a in quality.SIGNS and b in quality.SIGNS for a, b in zip(x, x[1:], strict=False)) for x in ws) / n), math.log1p(len(times)) - 0.85 * math.log1p(len(ws)),
+        share(max(times.values()) / n if len(ws) > 4 else 0.05), share(sum(a == b for a, b in zip(low, low[1:], strict=False)) / n), math.log1p(len(set(raw) - {32, 9, 10, 11, 12, 13})),
+        share(sum(len(x) < 20 for x in lines) / max(1, len(lines))), share(1 - len(set(lines)) / max(1, len(lines))),
+    ]
+
+
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_quality_equals_a_plain_version(request, spark, which):
+    """The whole query: statistics one text at a time, densities from covariances, then slope and shift."""
+    df, labels = request.getfixturevalue(which), table(spark, SF, "labels")
+    held = fold(df.doc_id, 5) == 0
+    rows = df.select("doc_id", "text").collect()
+    x = np.array([plain_statistics(r.text) for r in rows])
+    model = quality.train(quality.with_statistics(df.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text"), ["doc_id", "held_out"]), labels, ~F.col("held_out"))
+    got = sorted(((r.doc_id, r.score) for r in quality.assess(df, labels, held).collect()), key=repr)
+    if model is None:
+        assert {g[1] for g in got} == {0.5}
+        return
+    z = np.clip((x - model.centre) / model.scale, -8, 8)
+    logs = []
+    for mean, f, o in zip(model.means, model.factors, model.offsets, strict=True):
+        logs.append(o - 0.5 * np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(f @ f.T), z - mean))
+    want = 1 / (1 + np.exp(-np.clip(model.slope * (logs[1] - logs[0]) + model.shift, -40, 40)))
+    want = sorted(((r.doc_id, s) for r, s in zip(rows, want, strict=True)), key=repr)
+    assert [g[0] for g in got] == [x[0] for x in want]
+    assert np.allclose([g[1] for g in got], [x[1] for x in want], atol=1e-6)
+
+
 def test_discriminant_equals_densities():
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(0, 1, (200, 3)), rng.normal(1, 2, (300, 3))])

@@ -2,73 +2,100 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklens.llm.common import one_blas_thread, some_of, stored
+from tracklens.llm.words import Words, words_of
 
 #: Labelled rows that the classes are fitted to, at most.
 SAMPLE = 20_000
 #: Share of the pooled, and of the spherical, covariance in each class's own.
 POOLED, SPHERE = 0.10, 0.05
 THRESHOLD = 0.3
-NAMES = ("log_words", "word_length", "upper", "digits", "signs", "marked_words", "bars", "shouts", "distinct", "repeats", "top_word", "sentence", "short_lines", "line_repeats", "spread")
-_UPPER, _LOWER, _DIGIT = np.arange(65, 91), np.arange(97, 123), np.arange(48, 58)
-_SIGNS = np.array([*b"#$%&*+/<=>@[\\]^_`{|}~"])
-_STOPS = np.array([*b".!?"])
-
-
-def _share(x: float) -> float:
-    """A share in [0, 1], stretched at both ends."""
-    x = min(max(x, 0.0), 1.0)
-    return float(np.log((x + 0.002) / (1.002 - x)))
-
-
-def statistics(text: str) -> list[float]:
-    """Transformed statistics of a whole text; an empty one has those of zero counts."""
-    raw = text.encode()
-    hist = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if raw else np.zeros(256, np.int64)
-    upper, digits = int(hist[_UPPER].sum()), int(hist[_DIGIT].sum())
-    letters = upper + int(hist[_LOWER].sum()) + int(hist[192:].sum())
-    signs = int(hist[_SIGNS].sum())
-    blank = int(hist[32] + hist[9:14].sum())
-    words = text.split()
-    n = max(1, len(words))
-    visible = max(1, len(raw) - blank)
-    distinct = Counter(words)
-    top = max(distinct.values(), default=0)
-    again = sum(map(str.__eq__, words, words[1:]))
+NAMES = ("log_words", "word_length", "upper", "digits", "signs", "stops", "bare_words", "mixed_words", "long_words", "sign_runs", "distinct", "top_word", "repeats", "spread", "short_lines", "line_repeats")
+#: ASCII signs, and those that prose uses between words.
+SIGNS, PROSE_SIGNS, STOPS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b"!\"'(),-.:;?", b".!?"
+
+
+def _set(members: bytes | range) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+_UPPER, _LOWER, _DIGIT, _SIGN, _PROSE, _STOP = map(_set, (range(65, 91), range(97, 123), range(48, 58), SIGNS, PROSE_SIGNS, STOPS))
+_LETTER = _UPPER | _LOWER | _set(range(128, 256))
+
+
+def _share(x: np.ndarray) -> np.ndarray:
+    """Shares in [0, 1], stretched at both ends."""
+    x = np.clip(x, 0.0, 1.0)
+    return np.log((x + 0.002) / (1.002 - x))
+
+
+def word_statistics(w: Words) -> np.ndarray:
+    """Transformed statistics of each row's words: their number, make-up and repetition. An empty row has those of zero counts."""
+    rows, m = len(w.first) - 1, len(w.starts)
+    row = np.repeat(np.arange(rows), np.diff(w.first))
+    by_row = lambda x: np.bincount(row, weights=x, minlength=rows)
+
+    def in_words(mask: np.ndarray) -> np.ndarray:
+        upto = np.r_[0, np.cumsum(mask, dtype=np.int64)]
+        return upto[w.ends] - upto[w.starts]
+
+    data, length = w.data, w.ends - w.starts
+    letters, digits, upper = in_words(_LETTER[data]), in_words(_DIGIT[data]), in_words(_UPPER[data])
+    sign = _SIGN[data]
+    signs, odd = in_words(sign), in_words(sign & ~_PROSE[data])
+    run = np.zeros(len(data), bool)
+    run[1:] = sign[1:] & sign[:-1]
+    runs = in_words(run) - run[w.starts]  # a run is of one word
+    words = np.diff(w.first)
+    n, size = np.maximum(1, words), np.maximum(1, by_row(length))
+    again = np.zeros(m, bool)
+    again[1:] = (w.hashes[1:] == w.hashes[:-1]) & (row[1:] == row[:-1])
+    order = np.lexsort((w.hashes, row))
+    h, r = w.hashes[order], row[order]
+    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])][:m])
+    times = np.diff(np.r_[new, m])
+    distinct = np.bincount(r[new], minlength=rows)
+    top = np.zeros(rows, np.int64)
+    np.maximum.at(top, r[new], times)
+    held = np.zeros(m, bool)
+    held[:] = (letters > 0) & ((digits > 0) | (odd > 0))
+    seen = np.zeros((rows, 256), bool)
+    byte_row = np.repeat(row, length)
+    inside = np.repeat(w.starts - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(len(byte_row))
+    seen[byte_row, data[inside]] = True
+    return np.column_stack([
+        np.log1p(words), np.log(size / n), _share(by_row(upper) / np.maximum(1, by_row(letters))), _share(by_row(digits) / size), _share(by_row(odd) / size),
+        np.log((by_row(in_words(_STOP[data])) + 0.5) / n), _share(by_row(letters + digits == 0) / n), _share(by_row(held) / n), _share(by_row(length > 18) / n), _share(by_row(runs > 0) / n),
+        np.log1p(distinct) - 0.85 * np.log1p(words), _share(np.where(words > 4, top / n, 0.05)), _share(by_row(again) / n), np.log1p(seen.sum(1)),
+    ])
+
+
+def _line_statistics(text: str) -> tuple[float, float]:
+    """Shares of short lines and of lines that another repeats."""
     lines = [x for x in text.split("\n") if x.strip()]
-    marked = len(re.findall(r"[#$%&*@~^+=|]{2,}(?:\s|$)", text))
-    shouts = text.count("!!")
-    return [
-        float(np.log1p(len(words))),
-        float(np.log(visible / n)),
-        _share(upper / max(1, letters)),
-        _share(digits / visible),
-        _share(signs / visible),
-        _share(marked / n),
-        _share(text.count(" | ") / n),
-        _share(shouts / n),
-        float(np.log1p(len(distinct)) - 0.85 * np.log1p(len(words))),
-        _share(again / n),
-        _share(top / n if len(words) > 4 else 0.05),
-        float(np.log((hist[_STOPS].sum() + 0.5) / n)),
-        _share(sum(len(x) < 20 for x in lines) / max(1, len(lines))),
-        _share(1 - len(set(lines)) / max(1, len(lines))),
-        float(np.log1p(np.count_nonzero(hist))),
-    ]
+    n = max(1, len(lines))
+    return sum(len(x) < 20 for x in lines) / n, 1 - len(set(lines)) / n
+
+
+def statistics(column) -> np.ndarray:
+    """(rows, statistics) of whole texts of an Arrow column; a null is an empty text."""
+    parts = [word_statistics(w) for w in words_of(column)]
+    lines = np.array([_line_statistics(t or "") for t in column.to_pylist()], float).reshape(-1, 2)
+    return np.hstack([np.concatenate([*parts, np.zeros((0, len(NAMES) - 2))]), _share(lines)])
 
 
 @dataclass
 class Discriminant:
-    """Class means and Cholesky factors of their covariances, computed once."""
+    """Class means and Cholesky factors of their covariances, computed and inverted once."""
 
     centre: np.ndarray
     scale: np.ndarray
@@ -77,11 +104,15 @@ class Discriminant:
     offsets: np.ndarray  # log prior minus half the log determinant
     slope: float
     shift: float
+    inverses: list[np.ndarray] = field(init=False)  # of the factors, triangular too
+
+    def __post_init__(self):
+        self.inverses = [np.tril(np.linalg.inv(f)) for f in self.factors]
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log-density difference, class 1 minus class 0, by Mahalanobis distances."""
         z = np.clip((x - self.centre) / self.scale, -8, 8)
-        logs = [o - 0.5 * (np.linalg.solve(f, (z - m).T) ** 2).sum(0) for m, f, o in zip(self.means, self.factors, self.offsets, strict=True)]
+        logs = [o - 0.5 * (((z - m) @ f.T) ** 2).sum(1) for m, f, o in zip(self.means, self.inverses, self.offsets, strict=True)]
         return logs[1] - logs[0]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -126,8 +157,9 @@ def with_statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
 
         one_blas_thread()
         for batch in batches:
-            got = [statistics(t.as_py() or "") for t in batch.column(len(carry))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(got, pa.list_(pa.float64()))], names=[*carry, "x"])
+            got = statistics(batch.column(len(carry)))
+            x = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, len(NAMES), dtype=np.int32)), pa.array(got.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], x], names=[*carry, "x"])
 
     return kept.mapInArrow(run, schema)
 
@@ -150,7 +182,7 @@ def apply(stats: DataFrame, model: Discriminant | None, carry: list[str]) -> Dat
 
         one_blas_thread()
         for batch in batches:
-            x = np.array(batch.column(len(carry)).to_pylist(), float).reshape(-1, len(NAMES))
+            x = np.asarray(batch.column(len(carry)).flatten()).reshape(-1, len(NAMES))
             s = model.scores(x) if model is not None and len(x) else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(s, pa.float64())], names=[*carry, "score"])
 
@@ -172,7 +204,11 @@ def assess(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+    """The rows of ``docs``, all columns, whose score reaches the threshold.
+
+    Null ids and repeated rows are judged by their texts alike; without labels of both
+    classes every row stays; an empty table gives no rows.
+    """
     base = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text")
     model = train(stored(with_statistics(base, ["doc_id", "held_out"]), "statistics"), labels, ~F.col("held_out"))
     at = docs.columns.index("text")
@@ -182,7 +218,7 @@ def accepted(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
 
         one_blas_thread()
         for batch in batches:
-            x = np.array([statistics(t.as_py() or "") for t in batch.column(at)], float).reshape(-1, len(NAMES))
+            x = statistics(batch.column(at))
             keep = model.scores(x) >= THRESHOLD if model is not None and len(x) else np.ones(len(x), bool)
             yield batch.filter(pa.array(keep))
 
