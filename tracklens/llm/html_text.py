@@ -54,14 +54,18 @@ def parse(page: str) -> Node:
     """A tolerant element tree; text children are str, with references still encoded."""
     root = Node("#root")
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # where the open elements of each name are in the stack
 
-    def close(tags: tuple[str, ...], barrier: tuple[str, ...]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in tags:
-                del stack[depth:]
-                return
-            if stack[depth].tag in barrier:
-                return
+    def deepest(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(tags: tuple[str, ...], barrier: tuple[str, ...] = ()) -> None:
+        """End the innermost open element of ``tags``, and all in it, unless one of ``barrier`` is between."""
+        depth = deepest(tags)
+        if depth > deepest(barrier):
+            for node in stack[depth:]:
+                places[node.tag].pop()
+            del stack[depth:]
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -75,10 +79,7 @@ def parse(page: str) -> Node:
         if not tag or (at == len(page) and page[-1] != ">"):
             continue  # a comment, a declaration, or a tag that the page's end cuts off
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+            close((tag,))
             continue
         if tag in CLOSES and tag != "p":
             close(CLOSES[tag], ("ul", "ol", "dl", "table", "select", "menu"))
@@ -91,6 +92,7 @@ def parse(page: str) -> Node:
             end = _END[tag].search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     return root
 
