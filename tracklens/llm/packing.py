@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, *, window: int = WINDOW,
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode_to_numpy(text.as_py() or "") if text.is_valid else np.empty(0, np.uint32)
+                ids = enc.encode_to_numpy(text.as_py() or "", allowed_special="all") if text.is_valid else np.empty(0, np.uint32)
                 rows += packer.add(doc_id, np.append(ids, np.uint32(eos)))
             if rows:
                 yield table(rows)

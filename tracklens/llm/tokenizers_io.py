@@ -26,14 +26,15 @@ def _byte_of_char() -> dict[str, int]:
 def byte_bpe(path: str):
     """A tiktoken encoding with the vocabulary of a ``tokenizers`` byte-level BPE file.
 
-    Ids rank the merges in such files, so that both libraries give the same ids;
-    tests hold them against each other.
+    Ids rank the merges in such files, so that both libraries give the same ids, where
+    the text of an added token stands too (``allowed_special="all"``); tests hold them
+    against each other.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     of = _byte_of_char()
     ranks = {bytes(of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens=special)
