@@ -9,6 +9,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np  # noqa: F401  its BLAS has to be loaded before its threads are set
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +73,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of an Arrow batch in the actions within; the session's own setting holds again after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def batch_rows(spark: SparkSession, rows: int) -> None:
     """Rows of an Arrow batch; bounds a worker's memory when rows are long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

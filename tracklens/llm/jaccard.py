@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import free_shuffles, remove, stored
+from tracklens.llm.common import arrow_rows, free_shuffles, remove, stored
 from tracklens.llm.components import components
 from tracklens.llm.words import Words, mix, words_of
 
@@ -525,10 +525,9 @@ def join(docs: DataFrame) -> DataFrame:
     other; repeated rows are rows each; an empty table gives no rows; other columns
     are not read. Sets are known by 64-bit hashes of their shingles.
     """
-    spark: SparkSession = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    rows, roots = classes(base)
+    with arrow_rows(docs.sparkSession, 500):
+        rows, roots = classes(base)
     named = _by_set(rows, roots, F.min("least").alias("component_id"), ["component_id"])
     return _salted(rows).join(named, ["sig", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import scratch, stored
+from tracklens.llm.common import arrow_rows, scratch, stored
 
-#: Records of an archive file, at most; bounds what a reader holds at once.
-FILE_RECORDS = 10_000
+#: Records of an archive file, and bytes of their payloads, at most; bound what a reader holds at once.
+FILE_RECORDS, FILE_BYTES = 10_000, 256 << 20
+#: Captures of a range, about, whose runs a task merges.
+RANGE_ROWS = 200_000
 #: Slices of a digest that occurs more than once, so that a hot payload is spread.
 SALTS = 32
 DATE = "1970-01-01T00:00:00Z"
@@ -31,20 +33,26 @@ def sha1_base32(text: Column) -> Column:
     return F.translate(F.concat(*fours), CONV_DIGITS, BASE32)
 
 
-def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Payload, digest, record type and the page that a revisit refers to.
+def _utc(at: Column) -> Column:
+    """A timestamp as the format's date, to the second, with the session's zone taken as UTC."""
+    return F.date_format(at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def classify(pages: DataFrame, min_bytes: int = 0, captured: Column | None = None) -> DataFrame:
+    """Payload, time, digest, record type and the page that a revisit refers to.
 
     Of equal payloads of at least ``min_bytes`` bytes the largest ``page_id`` is the
     response; a null id is always a response. The largest ids are partial
     aggregates; only digests that occur twice are joined, each in ``SALTS`` slices.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    captured = F.coalesce(_utc(captured), F.lit(DATE)) if captured is not None else F.lit(DATE)
+    base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), payload.alias("payload"), captured.alias("captured"))
     base = base.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload")), "salt": F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")})
     shared = base.filter(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_bytes)).groupBy("payload_digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).filter("n > 1").select("payload_digest", "newest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     both = base.join(shared, ["payload_digest", "salt"], "left")
     revisit = F.coalesce(F.col("newest") > F.col("page_id"), F.lit(False))
-    return both.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("newest")).alias("refers_to"))
+    return both.select("page_id", "url", "payload", "captured", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("newest")).alias("refers_to"))
 
 
 def _line(name: str, value: Column) -> Column:
@@ -58,7 +66,7 @@ def _record_id(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def records(classified: DataFrame, date: str = DATE) -> DataFrame:
+def records(classified: DataFrame) -> DataFrame:
     """One WARC/1.1 record per row as text, without the two line ends that close it."""
     safe_url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     is_response = F.col("record_type") == "response"
@@ -70,7 +78,7 @@ def records(classified: DataFrame, date: str = DATE) -> DataFrame:
         F.lit("WARC/1.1" + CRLF),
         _line("WARC-Type", F.col("record_type")),
         _line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("payload_digest"))),
-        _line("WARC-Date", F.lit(date)),
+        _line("WARC-Date", F.col("captured")),
         _line("WARC-Target-URI", safe_url),
         _line("WARC-Payload-Digest", sha),
         _line("WARC-Profile", F.when(~is_response, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
@@ -84,14 +92,17 @@ def records(classified: DataFrame, date: str = DATE) -> DataFrame:
     return classified.select(F.concat(head, block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, file_records: int = FILE_RECORDS, codec: str = "gzip") -> None:
+def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, captured: Column | None = None, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES, codec: str = "gzip") -> None:
     """Archives of whole records by Spark's committed text writer, on any file system.
 
     A record ends with two line ends, which is the writer's separator. Control
-    characters and blanks in an address are written as %20. A file's records are
-    counted, so its size is bounded.
+    characters and blanks in an address are written as %20. A file has so few records
+    that payloads as large as the largest would fill ``file_bytes``. ``captured`` is
+    the time of a capture; without it, or where it is null, it is 1970.
     """
-    out = records(classify(pages, min_bytes)).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", file_records)
+    largest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    file_records = max(1, min(file_records, file_bytes // max(1, largest)))
+    out = records(classify(pages, min_bytes, captured)).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", file_records)
     out.option("compression", codec).text(path)
 
 
@@ -159,9 +170,7 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000], strict=True), kinds, strict=True)], names=names)
 
-    # One file a batch: a worker holds one archive at a time.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, INDEX)
 
 
@@ -200,8 +209,9 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     """The captures of all runs in global order of URL key and time.
 
     Rows are dealt by ranges of the whole sort key, which ends with the record's
-    place, so that one address with very many captures spans several ranges. Within a
-    range each file's rows, sorted already, are one run of the loser tree.
+    place, so that one address with very many captures spans several ranges. There is
+    a range for each ``RANGE_ROWS`` captures, so that a task's memory doesn't grow with
+    the table. Within a range each file's rows are one run of the loser tree.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -224,12 +234,11 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
-    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    n = max(1, -(-runs.count() // RANGE_ROWS))
     return runs.repartitionByRange(n, "urlkey", "captured", "page_id", "file", "record_offset").mapInArrow(run, INDEX)
 
 
-def archive_and_index(pages: DataFrame, *, min_bytes: int = 0, path: str | None = None) -> DataFrame:
+def archive_and_index(pages: DataFrame, *, min_bytes: int = 0, captured: Column | None = None, path: str | None = None) -> DataFrame:
     """Write archives of ``pages``, read them back, and return the merged capture index.
 
     Null html is an empty payload; a null url is left out of the record and has the
@@ -238,5 +247,7 @@ def archive_and_index(pages: DataFrame, *, min_bytes: int = 0, path: str | None
     """
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
-    write_archives(pages, path, min_bytes=min_bytes)
-    return merge_runs(stored(capture_runs(spark, path), "capture-runs"))
+    write_archives(pages, path, min_bytes=min_bytes, captured=captured)
+    with arrow_rows(spark, 1):  # one file a batch: a worker holds one archive at a time
+        runs = stored(capture_runs(spark, path), "capture-runs")
+    return merge_runs(runs)
