@@ -78,6 +78,29 @@ def test_payloads_survive_and_index_points_to_them(spark, odd):
             assert record[1].partition(b"\r\n\r\n")[2].decode() == pages[r.page_id]
 
 
+def test_captures_are_ordered_by_address_and_time(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)
+    rng = random.Random(3)
+    rows = [(i, f"http://{rng.choice('ab')}.example/{rng.choice(('x', 'y', 'z'))}", f"<p>{i % 50}", f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)} 0{rng.randint(0, 9)}:00:00" if i % 9 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, at string").repartition(7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index = warc.archive_and_index(df, captured=F.col("at").cast("timestamp"))
+    assert index.rdd.getNumPartitions() > 5
+    got = [(r.urlkey, r.captured, r.page_id) for r in index.collect()]
+    want = sorted((warc.url_key(u), at.replace(" ", "T") + "Z" if at else warc.DATE, i) for i, u, _, at in rows)
+    assert got == want and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_large_payloads_make_small_files(spark):
+    import glob
+
+    df = spark.createDataFrame([(i, "u", "x" * 1000) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    path = scratch(spark, "warc-test")
+    warc.write_archives(df, path, file_bytes=5000)
+    assert len(glob.glob(f"{path}/part-*")) >= 8
+    assert warc.capture_runs(spark, path).count() == 40
+
+
 def test_damaged_archive_is_an_error():
     with pytest.raises(ValueError):
         list(warc.parse_archive(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcX\r\n\r\n"))
@@ -126,6 +149,17 @@ def test_broken_markup_does_not_fail(text):
     assert isinstance(html_text.text_of(html_text.parse(text), set()), str)
 
 
+def test_parser_is_linear():
+    import time
+
+    n = 200_000
+    for page in ("<span>" * n + "</b>" * n, "<p><td>" + "<i>" * n + "<h1>" * n, "<li>" * n + "</ul>" * n, "<div><p>" * n, "<b><i></b></i>" * n):
+        began = time.time()
+        root = html_text.parse(page + "end")
+        assert html_text.text_of(root, set()).endswith("end")
+        assert time.time() - began < 10, page[:20]
+
+
 def site(n):
     pages = []
     for i in range(n):
@@ -203,6 +237,31 @@ def test_recall_order_and_scores(spark, kind):
     assert hits >= 0.9 * 20 * len(want)
 
 
+def test_blocks_are_reached_by_their_prefixes(spark, monkeypatch):
+    """Clusters: a query visits some of many blocks; a third of all rows are equal and fill several."""
+    monkeypatch.setattr(prefix_forest, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(prefix_forest, "BLOCK_QUERIES", 100)
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(40, 16)).repeat(100, 0) + rng.normal(size=(4000, 16)) * 0.05, np.ones((2000, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[rng.permutation(len(x))]
+    plan = prefix_forest.planned(x, len(x), 20)
+    assert plan.blocks >= 12 and plan.parts.max() >= 3 and plan.reach < len(plan.parts) and plan.share <= 0.2
+    rows = [(int(i), [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, got = plain_nearest(rows, 20), {}
+    for r in prefix_forest.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want) and all(len(g) == 20 for g in got.values())
+    assert sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * 20 * len(want)
+
+
+def test_lengths_are_spaces_and_ids_may_repeat(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [0.5, 0.25]), (20, [1.0, 2.0, 3.0]), (21, [1.0, 0.0, 0.0])]
+    got = sorted(map(tuple, prefix_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()))
+    assert got == [(0, 1, 1, 0.25), (0, 1, 1, 0.5), (0, 2, 0, 0.0), (0, 2, 0, 0.0), (20, 1, 21, 1.0)]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (20, [-1.0, 0.0])]
