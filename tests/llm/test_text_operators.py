@@ -422,6 +422,44 @@ def test_paraphrase_needs_its_answer(spark):
     assert [r.doc_id for r in got.collect()] == [1]
 
 
+def test_paraphrases_equal_brute_force(spark):
+    """Items with a part of their words kept in order, the others swapped, in texts of other words: every text against every item."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(60_000)]
+    common = vocab[:60]
+    say = lambda n: [rng.choice(common) if rng.random() < 0.3 else rng.choice(vocab) for _ in range(n)]
+    items = [(i, say(rng.randint(20, 60))) for i in range(40)]
+    rows, kept = [], {}
+    for d in range(1200):
+        body = say(rng.randint(30, 300))
+        if d % 4 == 0:
+            i, item = items[d // 4 % 40]
+            share = rng.choice((0.2, 0.35, 0.55, 0.6, 0.7))
+            stay = set(rng.sample(range(len(item)), math.ceil(share * len(item))))
+            at = rng.randint(0, len(body))
+            body[at:at] = [x if j in stay else rng.choice(vocab[60:]) for j, x in enumerate(item)]
+            kept[d] = share
+        rows.append((d, " ".join(body)))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in decontaminate.find_leaks(df, bench).collect()}
+    own = decontaminate.read_items(bench)
+    want = {}
+    (w,) = words_of(decontaminate.plain(pa.array([t for _, t in rows])))
+    for r in range(len(rows)):
+        ws = w.hashes[w.first[r] : w.first[r + 1]].tolist()
+        for it in own:
+            hits = [k for k, x in enumerate(ws) if x in it.masks]
+            if len(hits) >= 0.5 * len(it.words):
+                share = max(decontaminate.common_length(it.masks, len(it.words), ws[a : a + it.span]) for a in hits) / len(it.words)
+                if share >= 0.5:
+                    want[r, it.item_id] = share
+    assert {d for d, k in kept.items() if k >= 0.5} <= {d for d, _ in want}
+    assert all(want.get(k) == share for k, share in got.items())
+    assert {k for k, share in want.items() if share >= 0.65} <= set(got)
+    close = {k for k, share in want.items() if share < 0.65}
+    assert len(close) > 50 and len(close & set(got)) >= 0.9 * len(close)
+
+
 def frequent_leaks():
     """Documents of own words, a tenth of which hold one of two items, whole or with every fifth word swapped, so that all of its words are common."""
     rng = random.Random(8)
@@ -449,6 +487,14 @@ def test_frequent_leaks_are_found_in_any_partitioning(spark):
     assert one[1] == many[1] and (one[0] == many[0]).all()
 
 
+def test_large_benchmarks_are_taken_in_slices(spark, monkeypatch):
+    rows, items, want = frequent_leaks()
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "SLICE", 1)
+    assert {tuple(r)[:3] for r in decontaminate.find_leaks(df, bench).collect()} == want
+    assert decontaminate.without_leaks(df, bench).count() == len(rows) - len(want)
+
+
 def test_leaks_are_the_same_at_every_size(spark, monkeypatch):
     rows, items, want = frequent_leaks()
     df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

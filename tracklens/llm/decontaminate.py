@@ -1,9 +1,10 @@
-"""Benchmark leaks: counts of shared words bound the common subsequences, which decide; a latent space (TF-IDF passages, a distributed randomised SVD) scores and places them."""
+"""Benchmark leaks: passages near an item in a latent space (TF-IDF, a distributed randomised SVD), or with enough of its words, are held against it by common subsequences."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from types import SimpleNamespace
 
 import numpy as np
@@ -17,12 +18,16 @@ from tracklens.llm.words import Words, mix, words_of
 PASSAGE, STEP = 64, 32
 #: Latent dimensions, at most.
 RANK = 256
+#: Items of one latent space, whose vocabulary times the rank each task holds; a larger benchmark is taken in slices.
+SLICE = 5000
 #: Terms in more than this share of passages carry no topic; each item keeps its rarest few all the same.
 COMMON, FEW = 0.003, 4
 #: Share of passages that is added to each term's, and taken for a word outside of the vocabulary: weights depend on shares alone.
 FLOOR = 1e-5
-#: Share of an item's words that a common subsequence must hold; the lower one needs the item's answer nearby.
-SHARE, SHARE_WITH_ANSWER = 0.65, 0.45
+#: Cosine from which on a passage may be a paraphrase.
+COSINE = 0.3
+#: Share of an item's words that a common subsequence must hold: in any passage, in one near the item in the latent space, in one with the item's answer nearby.
+SHARE, SHARE_NEAR, SHARE_WITH_ANSWER = 0.65, 0.5, 0.45
 #: Share of an item's words of which a candidate must hold some that aren't the item's commonest; sets time, not results.
 RARER = 0.2
 _SIGNS = np.zeros(256, bool)
@@ -201,6 +206,20 @@ def _chunks(items: list[Item]) -> list[tuple[int, np.ndarray]]:
     return [(i, it.words[a : a + PASSAGE]) for i, it in enumerate(items) for a in range(0, max(1, len(it.words) - STEP), STEP)]
 
 
+def _sparse(places: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of rows of terms' places."""
+    found = [np.unique(x, return_counts=True) for x in places]
+    row, term, tf = np.repeat(np.arange(len(found)), [len(t) for t, _ in found]), *(np.concatenate([f[i] for f in found]) for i in (0, 1))
+    return row, term, (1 + np.log(tf)) * idf[term]
+
+
+def _add_rows(out: np.ndarray, to: np.ndarray, weight: np.ndarray, rows: np.ndarray, of: np.ndarray) -> None:
+    """Add ``weight`` times each row ``of`` to the row ``to``, some thousand at a time."""
+    for i in range(0, len(to), 4096):
+        part = slice(i, i + 4096)
+        np.add.at(out, to[part], weight[part, None] * rows[of[part]])
+
+
 def _project(basis: np.ndarray, p: np.ndarray, t: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(passages that have terms, their latent vectors)."""
     some, begin = np.unique(p, return_index=True)
@@ -254,16 +273,17 @@ def fit(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int = 3) ->
     none = np.zeros(0)
     latent = Latent(terms, np.where(keep, np.maximum(idf, 0.1), 0.0), none, none, none, Shared.of(items, terms, df), float(np.log((1 + FLOOR) / FLOOR) / 2) ** 2)
     parts = _chunks(items)
-    dense = np.zeros((len(parts), len(terms)))
-    for j, (_, words) in enumerate(parts):
-        t, tf = np.unique(np.searchsorted(terms, words), return_counts=True)
-        dense[j, t] = (1 + np.log(tf)) * latent.idf[t]
+    chunk, term, weight = _sparse([np.searchsorted(terms, words) for _, words in parts], latent.idf)
+    size = np.maximum(np.sqrt(np.bincount(chunk, weights=weight * weight, minlength=len(parts))), 1e-12)
     rank = min(rank, len(terms), len(parts) + 32)
     rng = np.random.default_rng(seed)
-    unit = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
     few = len(parts) <= rank - min(32, rank // 2)
-    sketch = np.hstack([unit.T if few else unit.T @ rng.normal(size=(len(parts), rank)), rng.normal(size=(len(terms), rank)) / np.sqrt(len(terms))])[:, :rank]
-    sketch = sketch.astype(np.float32)
+    seen = np.zeros((len(terms), len(parts) if few else rank))
+    if few:
+        seen[term, chunk] = weight / size[chunk]
+    else:
+        _add_rows(seen, term, weight / size[chunk], rng.normal(size=(len(parts), rank)), chunk)
+    sketch = np.hstack([seen, rng.normal(size=(len(terms), rank)) / np.sqrt(len(terms))])[:, :rank].astype(np.float32)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -304,11 +324,13 @@ def fit(docs: DataFrame, items: list[Item], rank: int = RANK, seed: int = 3) ->
     if got.num_rows:
         z[got["term"].to_numpy()] = np.asarray(got["row"].combine_chunks().flatten()).reshape(got.num_rows, -1)
     # The items' own vectors belong to the matrix too: a benchmark of which no text has a passage keeps its directions.
-    z += dense.T @ (dense @ sketch)
+    near = np.zeros((len(parts), rank))
+    _add_rows(near, chunk, weight, sketch, term)
+    _add_rows(z, term, weight, near, chunk)
     latent.basis = np.linalg.svd(z, full_matrices=False)[0].astype(np.float32)
-    chunks = dense @ latent.basis
-    size = np.maximum(np.linalg.norm(chunks, axis=1), 1e-12)
-    latent.chunks = (chunks / size[:, None]).astype(np.float32)
+    chunks = np.zeros((len(parts), latent.basis.shape[1]))
+    _add_rows(chunks, chunk, weight, latent.basis, term)
+    latent.chunks = (chunks / np.maximum(np.linalg.norm(chunks, axis=1), 1e-12)[:, None]).astype(np.float32)
     latent.of_item = np.array([i for i, _ in parts])
     return latent
 
@@ -318,33 +340,64 @@ def _within(answer: np.ndarray, words: list[int]) -> bool:
     return bool(a) and any(words[i : i + len(a)] == a for i in range(len(words) - len(a) + 1))
 
 
-def best_span(it: Item, words: list[int], starts: range) -> tuple[float, int]:
-    """(share, start) of the first best leak of a span that starts in ``starts``; a share of 0 if there is none."""
+def best_span(it: Item, words: list[int], starts: range, least: float = SHARE) -> tuple[float, int]:
+    """(share, start) of the first best leak of a span that starts in ``starts``; a share of 0 if there is none.
+
+    ``least`` is the share that needs no answer.
+    """
     n = len(it.words)
     most = common_length(it.masks, n, words[starts.start : starts.stop + it.span]) / n
     best = (0.0, 0)
-    if most < it.share:
+    if most < min(it.share, least):
         return best
     for a in starts:
         # A span that starts between words of the item holds no more than the next one, but may be nearer to an answer.
         if best[0] == most or not (words[a] in it.masks or len(it.answer)):
             continue
         share = common_length(it.masks, n, words[a : a + it.span]) / n
-        if share > best[0] and (share >= SHARE or (share >= SHARE_WITH_ANSWER and _within(it.answer, words[max(0, a - PASSAGE) : a + it.span + PASSAGE]))):
+        if share > best[0] and (share >= least or (share >= SHARE_WITH_ANSWER and _within(it.answer, words[max(0, a - PASSAGE) : a + it.span + PASSAGE]))):
             best = (share, a)
     return best
 
 
+def near_passages(w: Words, latent: Latent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, item) of all passages whose cosine with a chunk of the item is ``COSINE`` or more.
+
+    A projection is no longer than the vector, so passages with too small a part of
+    their weight in the vocabulary need none.
+    """
+    p, t, x, of, start, outside = latent.vectors(w)
+    inside = np.bincount(p, weights=x * x, minlength=len(of))
+    length = np.sqrt(inside + outside)
+    may = np.sqrt(inside) >= COSINE * length
+    held = may[p] if len(p) else np.zeros(0, bool)
+    some, y = _project(latent.basis, p[held], t[held], x[held])
+    row, at, item = [], [], []
+    for i in range(0, len(some), 1024):
+        part = some[i : i + 1024]
+        passage, chunk = np.nonzero(y[i : i + 1024] @ latent.chunks.T >= COSINE * length[part][:, None])
+        row.append(of[part[passage]])
+        at.append((start - w.first[of])[part[passage]])
+        item.append(latent.of_item[chunk])
+    return tuple(np.concatenate([*c, np.zeros(0, np.int64)]) for c in (row, at, item))
+
+
 def leaks(w: Words, latent: Latent, items: list[Item]) -> Iterator[tuple[int, int, float, float, int]]:
-    """(row, item, share of its words in common, cosine, first word of the passage): the best span of each row and item, and the passage of it that is nearest in the latent space."""
+    """(row, item, share of its words in common, cosine, first word of the passage): the best span of each row and item, and the passage of it that is nearest in the latent space.
+
+    Candidates are passages near an item, which a lower share makes leaks, and stretches
+    with enough of an item's words, which none of the higher share lacks.
+    """
     best: dict[tuple[int, int], tuple[float, int]] = {}
+    near = sorted({(r, i, a) for r, a, i in zip(*(c.tolist() for c in near_passages(w, latent)), strict=True)})
+    stretches = ((r, item, block * len(items[item].words), (block + 1) * len(items[item].words), SHARE) for r, item, block in latent.shared.stretches(w, latent.terms))
     row, words = -1, []
-    for r, item, block in latent.shared.stretches(w, latent.terms):
+    for r, item, lo, hi, least in [*((r, i, max(0, a - items[i].span + 1), a + PASSAGE, SHARE_NEAR) for r, i, a in near), *stretches]:
+        if best.get((r, item), (0.0, 0))[0] == 1.0:
+            continue
         if r != row:
             row, words = r, w.hashes[w.first[r] : w.first[r + 1]].tolist()
-        it = items[item]
-        n = len(it.words)
-        found = best_span(it, words, range(block * n, min((block + 1) * n, len(words))))
+        found = best_span(items[item], words, range(lo, min(hi, len(words))), least)
         if found[0] > best.get((r, item), (0.0, 0))[0]:
             best[r, item] = found
     if not best:
@@ -370,7 +423,9 @@ def leaks(w: Words, latent: Latent, items: list[Item]) -> Iterator[tuple[int, in
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs of a document and an item of which a passage, or a paraphrase near its words, is in the text.
 
-    Columns doc_id, item_id, share, cosine, position (first word of the passage). The
+    A leak shares 65 % of the item's words in their order, within a span of twice its
+    length; 50 % if the passage is near the item in the latent space; 45 % if the item's
+    answer stands nearby. Columns doc_id, item_id, share, cosine, position (first word of the passage). The
     corpus is read three times where it lies; what moves is of the benchmark's size.
     Null and empty texts, and an empty benchmark, give no pairs; repeated rows give
     their pairs each; items that share a text are found each; other columns are not read.
@@ -380,6 +435,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = read_items(benchmark)
     if not items:
         return docs.sparkSession.createDataFrame([], out)
+    if len(items) > SLICE:
+        return reduce(DataFrame.unionByName, (_found(base, items[i : i + SLICE], out) for i in range(0, len(items), SLICE)))
+    return _found(base, items, out)
+
+
+def _found(base: DataFrame, items: list[Item], out: str) -> DataFrame:
     latent = fit(base, items)
 
     def run(batches: Iterator) -> Iterator:
@@ -397,10 +458,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text no item leaks."""
+    """The rows of ``docs``, all columns, in whose text no item leaks.
+
+    Null and empty texts, null ids and repeated rows stay; so does all with an empty benchmark.
+    """
     items = read_items(benchmark)
-    if not items:
-        return docs
+    return reduce(_clean, (items[i : i + SLICE] for i in range(0, len(items), SLICE)), docs)
+
+
+def _clean(docs: DataFrame, items: list[Item]) -> DataFrame:
     latent = fit(docs.select(F.col("text").cast("string").alias("text")), items)
     at = docs.columns.index("text")
 
