@@ -8,7 +8,7 @@ from tracklens.llm import decontaminate, jaccard, langid, packing, quality
 from tracklens.llm.common import batch_rows, fold, scratch, table
 
 #: Rows of an Arrow batch of whole texts.
-TEXT_ROWS = 2000
+TEXT_ROWS = 500
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
