@@ -91,7 +91,9 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
 
 
 def one_blas_thread() -> None:
-    """Matrix products of this process run on its own core: tasks fill the others already."""
+    """Matrix products of this process run on its own core, as tasks fill the others already; what earlier tasks held goes back to the system."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
     with contextlib.suppress(OSError):
         with open("/proc/self/maps") as f:
             paths = {line.split()[-1] for line in f if "openblas" in line}

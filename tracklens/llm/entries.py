@@ -11,7 +11,7 @@ from tracklens.llm import decontaminate, hmm, html_text, jaccard, langid, packin
 from tracklens.llm.common import batch_rows, fold, table
 
 #: Rows of an Arrow batch of whole texts.
-TEXT_ROWS = 2000
+TEXT_ROWS = 500
 
 
 def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ FILTERS = 8
 #: The training sample: windows a language and in all, at most; characters of a window; epochs.
 SAMPLE_EACH, SAMPLE_ALL, SAMPLE_CHARS, EPOCHS = 2000, 12_000, 220, 14
 #: Windows that are convolved at once, and bytes of texts that are windowed at once.
-BLOCK, AT_ONCE = 256, 4 << 20
+BLOCK, AT_ONCE = 256, 1 << 20
 UNDETERMINED = "und"
 #: Probability below which a prediction is a guess.
 KEPT_SCORE = 0.4
@@ -133,25 +133,33 @@ def sample(docs: DataFrame, training: Column) -> tuple[list[str], list[str]]:
     return [r.text for r in got], [r.lang for r in got]
 
 
-def told(texts: list[str], net: Network, tables: tuple[np.ndarray, np.ndarray]) -> list[tuple[str, float]]:
+def told(texts: Iterable[str], net: Network, tables: tuple[np.ndarray, np.ndarray]) -> list[tuple[str, float]]:
     """(language, probability) of whole texts. A text's logits are the mean of its windows', weighted by their letters."""
-    out = [(UNDETERMINED, 0.0)] * len(texts)
-    lettered = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if net.langs else []
-    raw = [texts[i].encode() for i in lettered]
-    upto = np.cumsum([len(r) for r in raw])
-    begin = 0
-    while begin < len(raw):
-        # So many texts at once that their bytes are about AT_ONCE.
-        stop = max(begin + 1, int(np.searchsorted(upto, upto[begin] + AT_ONCE)))
-        w, first = windows_of(*raw[begin:stop])
+    out: list[tuple[str, float]] = []
+    held: list[tuple[int, bytes]] = []
+
+    def tell() -> None:
+        w, first = windows_of(*(raw for _, raw in held))
         letters = (w != 32).sum(1)
         z = np.add.reduceat(net.logits(w, tables) * letters[:, None], first[:-1])
         z /= np.maximum(1, np.add.reduceat(letters, first[:-1]))[:, None]
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        for i, k, best in zip(lettered[begin:stop], p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
+        for (i, _), k, best in zip(held, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
             out[i] = net.langs[k], best
-        begin = stop
+        held.clear()
+
+    size = 0
+    for t in texts:
+        if net.langs and any(map(str.isalpha, t)):
+            held.append((len(out), t.encode()))
+            size += len(held[-1][1])
+        out.append((UNDETERMINED, 0.0))
+        if size >= AT_ONCE:
+            tell()
+            size = 0
+    if held:
+        tell()
     return out
 
 
@@ -166,7 +174,7 @@ def predict(docs: DataFrame, net: Network, carry: list[str]) -> DataFrame:
         one_blas_thread()
         tables = net.tables()
         for batch in batches:
-            got = told([t or "" for t in batch.column(len(carry)).to_pylist()], net, tables)
+            got = told((t.as_py() or "" for t in batch.column(len(carry))), net, tables)
             langs, scores = zip(*got, strict=True) if got else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*carry, "lang_pred", "score"])
 
@@ -202,7 +210,7 @@ def with_language(docs: DataFrame, held_out: Column, least: float = KEPT_SCORE)
         one_blas_thread()
         tables = net.tables()
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
+            texts = (t.as_py() or "" for t in batch.column(at))
             keep = [score >= least for _, score in told(texts, net, tables)] if net.langs else [any(map(str.isalpha, t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -29,6 +29,7 @@ def _set(members: bytes | range) -> np.ndarray:
 
 
 _UPPER, _LOWER, _DIGIT, _SIGN, _PROSE, _STOP = map(_set, (range(65, 91), range(97, 123), range(48, 58), SIGNS, PROSE_SIGNS, STOPS))
+_INK = ~_set(b" \t\n\x0b\f\r")
 _LETTER = _UPPER | _LOWER | _set(range(128, 256))
 
 
@@ -45,7 +46,8 @@ def word_statistics(w: Words) -> np.ndarray:
     by_row = lambda x: np.bincount(row, weights=x, minlength=rows)
 
     def in_words(mask: np.ndarray) -> np.ndarray:
-        upto = np.r_[0, np.cumsum(mask, dtype=np.int64)]
+        upto = np.zeros(len(mask) + 1, np.int32)
+        np.cumsum(mask, out=upto[1:])
         return upto[w.ends] - upto[w.starts]
 
     data, length = w.data, w.ends - w.starts
@@ -66,16 +68,13 @@ def word_statistics(w: Words) -> np.ndarray:
     distinct = np.bincount(r[new], minlength=rows)
     top = np.zeros(rows, np.int64)
     np.maximum.at(top, r[new], times)
-    held = np.zeros(m, bool)
-    held[:] = (letters > 0) & ((digits > 0) | (odd > 0))
-    seen = np.zeros((rows, 256), bool)
-    byte_row = np.repeat(row, length)
-    inside = np.repeat(w.starts - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(len(byte_row))
-    seen[byte_row, data[inside]] = True
+    held = (letters > 0) & ((digits > 0) | (odd > 0))
+    edges = zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)
+    spread = np.array([np.count_nonzero(np.bincount(data[w.starts[a] : w.ends[b - 1]], minlength=256)[_INK]) if b > a else 0 for a, b in edges])
     return np.column_stack([
         np.log1p(words), np.log(size / n), _share(by_row(upper) / np.maximum(1, by_row(letters))), _share(by_row(digits) / size), _share(by_row(odd) / size),
         np.log((by_row(in_words(_STOP[data])) + 0.5) / n), _share(by_row(letters + digits == 0) / n), _share(by_row(held) / n), _share(by_row(length > 18) / n), _share(by_row(runs > 0) / n),
-        np.log1p(distinct) - 0.85 * np.log1p(words), _share(np.where(words > 4, top / n, 0.05)), _share(by_row(again) / n), np.log1p(seen.sum(1)),
+        np.log1p(distinct) - 0.85 * np.log1p(words), _share(np.where(words > 4, top / n, 0.05)), _share(by_row(again) / n), np.log1p(spread),
     ])
 
 
@@ -89,7 +88,7 @@ def _line_statistics(text: str) -> tuple[float, float]:
 def statistics(column) -> np.ndarray:
     """(rows, statistics) of whole texts of an Arrow column; a null is an empty text."""
     parts = [word_statistics(w) for w in words_of(column)]
-    lines = np.array([_line_statistics(t or "") for t in column.to_pylist()], float).reshape(-1, 2)
+    lines = np.array([_line_statistics(t.as_py() or "") for t in column], float).reshape(-1, 2)
     return np.hstack([np.concatenate([*parts, np.zeros((0, len(NAMES) - 2))]), _share(lines)])
 
 

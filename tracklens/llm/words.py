@@ -14,7 +14,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes that are hashed at once; a longer text is taken by itself.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
