@@ -352,6 +352,33 @@ def test_one_of_each(spark, odd):
     assert sorted(r.doc_id for r in jaccard.one_of_each(clash).collect()) == got
 
 
+@pytest.mark.parametrize("rows", ["3", "1000"])
+def test_shared_keys_equal_plain_groups(spark, rows):
+    """Groups that begin, end and repeat rows anywhere in batches of a few rows."""
+    from tracklens.llm.common import arrow_rows
+
+    rng = random.Random(13)
+    data = [(k, s, (k * 7 + s) % 50) for k in range(120) for s in rng.choices(range(9), k=rng.choice((1, 1, 2, 3, 12)))]
+    sets = defaultdict(set)
+    for k, s, _ in data:
+        sets[k].add(s)
+    df = spark.createDataFrame(data, "key long, sig long, pos int").repartition(5)
+    with arrow_rows(spark, int(rows)):
+        got = sorted((r.key, r.sig, r.pos, r.hub) for r in jaccard.shared_keys(df).collect())
+    assert got == sorted((k, s, (k * 7 + s) % 50, min(v)) for k, v in sets.items() if len(v) > 1 for s in v)
+
+
+def test_frequent_shingles_equal_plain_counts(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE_PART", 1)
+    sets = {frozenset(u.tolist()) for w in words_of(pa.array([r.text for r in docs.select("text").collect()])) for u in jaccard.shingles(w)}
+    times = Counter(k for u in sets for k in u)
+    from tracklens.llm.common import arrow_rows
+
+    for rows in (7, 10_000):
+        with arrow_rows(spark, rows):
+            assert sorted(jaccard.frequent_shingles(docs.repartition(4)).tolist()) == sorted(k for k, n in times.items() if n >= 2)
+
+
 def test_points_lose_nothing():
     rng = np.random.default_rng(3)
     sets = []

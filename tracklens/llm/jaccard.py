@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import arrow_rows, free_shuffles, remove, stored
+from tracklens.llm.common import arrow_rows, free_shuffles, one_blas_thread, remove, stored
 from tracklens.llm.components import components
 from tracklens.llm.words import Words, mix, words_of
 
@@ -100,29 +100,89 @@ def _new_sets(w: Words, seen: set[int]) -> Iterator[tuple[int, int, np.ndarray]]
             yield i, sig, u
 
 
+def _runs(key: np.ndarray, sig: np.ndarray, now: int | None, last: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by key and set: which are no repeats of the row before, and which of these begin a key. ``now`` and ``last`` are those of the row before the first."""
+    new = np.r_[True, (np.diff(key) != 0) | (np.diff(sig) != 0)]
+    new[0] = now is None or key[0] != now or sig[0] != last
+    at = np.flatnonzero(new)
+    return at, np.r_[now is None or key[at[0]] != now, np.diff(key[at]) != 0] if len(at) else np.zeros(0, bool)
+
+
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles in several of a hash-chosen eighth of the distinct sets. They steer the prefix order only."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        one_blas_thread()
         seen: set[int] = set()
         for batch in batches:
             for w in words_of(batch.column(0)):
                 some = [(sig, u) for _, sig, u in _new_sets(w, seen) if sig % SAMPLE_PART == 0]
-                yield pa.RecordBatch.from_arrays([pa.array([sig for sig, _ in some], pa.int64()), pa.array([u.view(np.int64) for _, u in some], pa.list_(pa.int64()))], names=["sig", "keys"])
+                keys = np.concatenate([*(u for _, u in some), np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array([sig for sig, _ in some], np.int64), [len(u) for _, u in some]))], names=["key", "sig"])
+
+    def count(batches: Iterator) -> Iterator:
+        """Sets of each key, from sorted rows; the last key of a batch may go on in the next."""
+        import pyarrow as pa
 
-    sets = docs.select("text").mapInArrow(run, "sig long, keys array<long>").dropDuplicates(["sig"])
-    got = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= SAMPLE_LEAST).orderBy(F.desc("n"), "key").limit(SAMPLE_SHINGLES).toArrow()
+        now, last, n = None, None, 0
+        for batch in batches:
+            key, sig = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            at, begins = _runs(key, sig, now, last)
+            group = np.cumsum(begins)
+            times = np.bincount(group, minlength=1)
+            times[0] += n
+            of = np.concatenate([[0 if now is None else now], key[at][begins]])
+            done = np.flatnonzero(times[:-1] >= SAMPLE_LEAST)
+            yield pa.RecordBatch.from_arrays([pa.array(of[done]), pa.array(times[done])], names=["key", "n"])
+            now, last, n = key[-1], sig[-1], int(times[-1])
+        if n >= SAMPLE_LEAST:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([n], pa.int64())], names=["key", "n"])
+
+    keys = docs.select("text").mapInArrow(run, "key long, sig long").repartition("key").sortWithinPartitions("key", "sig")
+    got = keys.mapInArrow(count, "key long, n long").orderBy(F.desc("n"), "key").limit(SAMPLE_SHINGLES).toArrow()
     return np.sort(got["key"].to_numpy().view(np.uint64))
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, pos, sig, hub) of keys that two sets have, each set once a key; the hub is the key's least set.
+
+    Keys move once and are sorted; a task reads them in order and holds a row.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        one_blas_thread()
+        now, last, hub, held = None, None, 0, None
+        for batch in batches:
+            key, sig, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if held is not None:
+                key, sig, pos = np.r_[held[0], key], np.r_[held[1], sig], np.r_[held[2], pos]
+            at, begins = _runs(key, sig, now, last)
+            if not len(at):
+                continue
+            key, sig, pos = key[at], sig[at], pos[at]
+            group = np.cumsum(begins)  # 0 goes on from the batch before
+            size = np.bincount(group)
+            hubs = np.r_[hub, sig[begins]][group]
+            many = (group == 0) | (size[group] > 1)
+            # The only row of the last key so far waits for the next batch.
+            held = None if many[-1] else (key[-1], sig[-1], pos[-1])
+            now, last, hub = (key[-1], sig[-1], hubs[-1]) if many[-1] else (None, None, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(pos[many].astype(np.int32)), pa.array(sig[many]), pa.array(hubs[many])], names=["key", "pos", "sig", "hub"])
+
+    return keys.select("key", "sig", "pos").repartition("key").sortWithinPartitions("key", "sig").mapInArrow(run, "key long, pos int, sig long, hub long")
+
+
 def describe(docs: DataFrame, late: np.ndarray) -> DataFrame:
     """Per row its set's signature and size; with a task's first row of a set, its count vector and prefix keys."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        one_blas_thread()
         seen: set[int] = set()
         for batch in batches:
             for w in words_of(batch.column(1)):
@@ -485,10 +545,10 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = stored(shingled.select("doc_id", "sig", "n"), "rows")
     points = shingled.filter("vec is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec"))
     points = stored(points, "points", paths=old)
-    # A key of one set can't bring sets together; most are. Keys move once, for the count and for the join.
-    keys = shingled.filter("keys is not null").select(F.posexplode("keys").alias("pos", "key"), "sig").repartition("key")
-    hubs = keys.groupBy("key").agg(F.min("sig").alias("hub"), F.max("sig").alias("top")).filter("hub <> top").select("key", "hub")
-    members = stored(keys.join(hubs, "key").distinct(), "members", paths=old)
+    # A key of one set can't bring sets together; most are.
+    keys = shingled.filter("keys is not null").select(F.posexplode("keys").alias("pos", "key"), "sig")
+    with arrow_rows(spark, 50_000):
+        members = stored(shared_keys(keys), "members", paths=old)
     drop(brief)
     prefixes = stored(members.groupBy("sig").agg(F.collect_list("key").alias("ks")).join(points.select("sig", "n"), "sig"), "shared-keys", "lz4", old)
     votes = members.filter("sig <> hub").groupBy("sig", "hub").agg(F.count("*").alias("votes"))
