@@ -43,7 +43,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("quality", good), ("near copies", distinct), ("decontamination", clean), ("packing", packed)]
 
-#: No stage is an SQL query: networks, discriminants and tokenizers aren't; tests hold each against brute force.
+#: No stage is an SQL query: networks, discriminants and tokenizers aren't. Tests hold the operators of the stages against plain versions, and the stages' effects on a small corpus.
 ORACLE_SQL = None
 
 
