@@ -368,6 +368,29 @@ def test_shared_keys_equal_plain_groups(spark, rows):
     assert got == sorted((k, s, (k * 7 + s) % 50, min(v)) for k, v in sets.items() if len(v) > 1 for s in v)
 
 
+def test_groups_with_equal_members_are_one_before_components(spark):
+    groups = {1: {(1, 4), (2, 0)}, 2: {(1, 3), (2, 5)}, 3: {(1, 9), (2, 9), (3, 9)}, 4: {(2, 1), (3, 1)}}
+    df = spark.createDataFrame([(k, s, pos, min(v)[0]) for k, v in groups.items() for s, pos in v], "key long, sig long, pos int, hub long")
+    got = sorted(tuple(r) for r in jaccard.unlike_groups(df).collect())
+    assert got == sorted((k, s, pos) for k in (2, 3, 4) for s, pos in groups[k])
+
+
+@pytest.mark.parametrize("likeliest", [True, False])
+def test_vectors_travel_twice_at_most(spark, likeliest):
+    """Once to their rows, and with these to their blocks, however groups are split."""
+    rows = spark.createDataFrame([(1, 2, 1, 1, 0, True)], "grp long, blocks int, sig long, comp long, pos int, asks boolean")
+    points = spark.createDataFrame([(1, 0, 8, b"")], "sig long, doc_id long, n long, vec binary")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        plan = jaccard.survivors(rows, points, likeliest)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange ") == 3  # rows, points, and both together
+
+
 def test_frequent_shingles_equal_plain_counts(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "SAMPLE_PART", 1)
     sets = {frozenset(u.tolist()) for w in words_of(pa.array([r.text for r in docs.select("text").collect()])) for u in jaccard.shingles(w)}

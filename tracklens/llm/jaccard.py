@@ -266,24 +266,35 @@ class Points:
         return (hits[0], bounds[0]) if len(hits) == 1 else (np.concatenate([*hits, np.zeros(0, np.int64)]), np.concatenate([*bounds, np.zeros(0, np.int64)]))
 
 
-def survivors(rows: DataFrame, likeliest: bool = False) -> DataFrame:
-    """Pairs (a, b) of different components in a group that the count vectors and caps allow, for rows that ask.
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``blocks``, in how many blocks the rows of their ``grp`` are dealt."""
+    some = rows.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks")).filter("blocks > 1")
+    some = some.select("grp", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("sig", F.lit(1)), F.lit(SALTS)).cast("int"))
+    return salted.join(some, ["grp", "salt"], "left").drop("salt").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
+def survivors(rows: DataFrame, points: DataFrame, likeliest: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components in a group (grp) that the count vectors and caps allow, for rows that ask.
 
     With ``likeliest``, of each row only the pair with the largest bound in its block.
 
-    ``rows`` has grp, sig, comp, n, cap, vec and asks. A task holds one group; groups of
+    ``rows`` has grp, blocks, sig, comp, pos and asks; sizes and vectors come from
+    ``points`` last, so that they travel once. A task holds one group; groups of
     over ``BLOCK`` rows are split in blocks, and rows that ask go to the other blocks of
-    their group too, but with ``likeliest``, where any partner will do. ``cap`` bounds the overlap of a pair of which the group's key is the
-    first common one: pairs that have it later in their orders are found in another group.
+    their group too, but with ``likeliest``, where any partner will do. The size less
+    ``pos`` bounds the overlap of a pair of which the group's key is the first common
+    one: pairs that have it later in their orders are found in another group.
+    A pair comes once from each block that finds it.
     """
-    some = rows.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks")).filter("blocks > 1")
-    some = some.select("grp", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = rows.withColumn("salt", F.pmod(F.xxhash64("sig", F.lit(1)), F.lit(SALTS)).cast("int")).join(some, ["grp", "salt"], "left")
-    columns = ["grp", "block", "foreign", "sig", "comp", "n", "cap", "asks", "vec"]
-    own = own.withColumn("block", F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1))).cast("int")).withColumn("foreign", F.lit(False))
-    other = own.filter("asks and blocks > 1").drop("foreign").withColumnRenamed("block", "home")
-    other = other.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block <> home").withColumn("foreign", F.lit(True))
-    every = own.select(*columns) if likeliest else own.select(*columns).unionByName(other.select(*columns))
+    columns = ["grp", "block", "foreign", "sig", "comp", "pos", "asks"]
+    own = rows.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("foreign", F.lit(False))
+    every = own.select(*columns)
+    if not likeliest:
+        other = own.filter("asks and blocks > 1").drop("foreign").withColumnRenamed("block", "home")
+        other = other.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("block <> home").withColumn("foreign", F.lit(True))
+        every = every.unionByName(other.select(*columns))
+    every = every.join(points.select("sig", "n", "vec"), "sig").select("grp", "block", "foreign", "sig", "comp", "n", (F.col("n") - F.col("pos")).alias("cap"), "asks", "vec")
     dealt = every.repartition("grp", "block").sortWithinPartitions("grp", "block", "foreign")
 
     def run(batches: Iterator) -> Iterator:
@@ -292,6 +303,7 @@ def survivors(rows: DataFrame, likeliest: bool = False) -> DataFrame:
         now, held, block = None, [], None
         left: list[np.ndarray] = []
         right: list[np.ndarray] = []
+        group: list[np.ndarray] = []
 
         def found(point, n, cap, comp, sig):
             hit, both = block[0].search(point, n, cap)
@@ -303,6 +315,7 @@ def survivors(rows: DataFrame, likeliest: bool = False) -> DataFrame:
                 hit = hit[[np.argmax(both / (block[0].sizes[hit] + n))]]
             left.append(np.full(len(hit), sig))
             right.append(block[1][hit])
+            group.append(np.full(len(hit), now[0]))
 
         def settle():
             """Build what is held of a group, and ask its own rows."""
@@ -315,14 +328,14 @@ def survivors(rows: DataFrame, likeliest: bool = False) -> DataFrame:
             held.clear()
 
         def pairs():
-            a, b = np.concatenate([*left, np.zeros(0, np.int64)]), np.concatenate([*right, np.zeros(0, np.int64)])
-            left.clear()
-            right.clear()
+            a, b, of = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right, group))
+            for x in (left, right, group):
+                x.clear()
             a, b = np.minimum(a, b), np.maximum(a, b)
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)][: len(a)]
-            return pa.RecordBatch.from_arrays([pa.array(a[new], pa.int64()), pa.array(b[new], pa.int64())], names=["a", "b"])
+            order = np.lexsort((b, a, of))
+            a, b, of = a[order], b[order], of[order]
+            new = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(of) != 0)][: len(a)]
+            return pa.RecordBatch.from_arrays([pa.array(x[new], pa.int64()) for x in (a, b, of)], names=["a", "b", "grp"])
 
         for batch in batches:
             grp, blk, foreign, sig, comp, n, cap, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(8))
@@ -347,7 +360,7 @@ def survivors(rows: DataFrame, likeliest: bool = False) -> DataFrame:
             settle()
             yield pairs()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, grp long")
 
 
 def _places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -409,12 +422,10 @@ def key_rich(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.size(F.array_intersect("ka", "kb")) >= need).select("a", "b")
 
 
-def sets_in(docs: DataFrame, points: DataFrame, pairs: DataFrame, paths: list[str]) -> DataFrame:
-    """(sig, hashes) of all sets in pairs (and of a few more), from one document each."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(points, "sig").filter("doc_id is not null").select("doc_id")
-    sets = stored(sets_of(docs, membership_filter(ids)), "sets", "lz4", paths)
-    free_shuffles(docs.sparkSession)
-    return sets
+def sets_in(docs: DataFrame, points: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(sig, hashes) of all sets of ``sigs(sig)`` (and of a few more), from one document each; dealt by sig."""
+    ids = sigs.distinct().join(points, "sig").filter("doc_id is not null").select("doc_id")
+    return sets_of(docs, membership_filter(ids))
 
 
 class Forest:
@@ -461,16 +472,16 @@ def linking_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def star_links(docs: DataFrame, points: DataFrame, stars: DataFrame, paths: list[str]) -> DataFrame:
     """Links (a, b) within the stars (grp, sig) of hubs and their sets.
 
-    A set travels once. Stars of many sets, or large ones, are split in blocks, of
-    which each has the hub too.
+    Stars of many sets, or large ones, are split in blocks, of which each has the hub
+    too. Blocks are dealt before the sets are read, so that a set travels twice: to
+    its rows, and with them to their blocks.
     """
-    sets = sets_in(docs, points, stars.select(F.col("grp").alias("a"), F.col("sig").alias("b")), paths)
-    sized = stars.join(sets, "sig").select("grp", "sig", "hashes")
-    blocks = stars.join(sets.select("sig", F.size("hashes").alias("n")), "sig").groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(STAR_SETS), F.sum("n") / F.lit(STAR_SHINGLES))).cast("int").alias("blocks"))
-    blocks = stored(blocks, "blocks", paths=paths)
-    mine = sized.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), "sig", "hashes")
-    hubs = blocks.join(sets.withColumnRenamed("sig", "grp"), "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("grp").alias("sig"), "hashes")
-    rows = mine.unionByName(hubs).repartition("grp", "block").sortWithinPartitions("grp", "block")
+    placed = stars.filter("grp <> sig").unionByName(stars.select("grp", F.col("grp").alias("sig")).distinct())
+    blocks = placed.join(points.select("sig", "n"), "sig").groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(STAR_SETS), F.sum("n") / F.lit(STAR_SHINGLES))).cast("int").alias("blocks"))
+    dealt = F.when(F.col("grp") == F.col("sig"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")))
+    placed = stored(placed.join(blocks, "grp").select("grp", "sig", F.explode(dealt).alias("block")), "placed", paths=paths)
+    sets = sets_in(docs, points, placed.select("sig"))
+    rows = placed.join(sets, "sig").select("grp", "block", "sig", "hashes").repartition("grp", "block").sortWithinPartitions("grp", "block")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -498,25 +509,32 @@ def star_links(docs: DataFrame, points: DataFrame, stars: DataFrame, paths: list
 
 def verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, paths: list[str]) -> DataFrame:
     """The pairs whose sets do link."""
-    sets = sets_in(docs, points, pairs, paths)
+    sets = stored(sets_in(docs, points, pairs.select(F.explode(F.array("a", "b")).alias("sig"))), "sets", "lz4", paths)
+    free_shuffles(docs.sparkSession)
     side = lambda c: sets.select(F.col("sig").alias(c), F.col("hashes").alias(f"h{c}"))
     both = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(NEED_I * both >= NEED_S * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
-def _spanning(members: DataFrame, roots: DataFrame, paths: list[str]) -> DataFrame:
-    """(key, sig, pos, comp, main) of the members of groups that span components; of groups with equal members one.
+def unlike_groups(members: DataFrame) -> DataFrame:
+    """(key, sig, pos) of ``members``; of groups with equal members one.
 
     That one is the first in the common order of keys, so that its places in the
     members' orders bound what a pair can share from there on.
     """
+    alike = lambda i: F.bit_xor(F.xxhash64("sig", F.lit(i)))
+    groups = members.groupBy("key").agg(F.count("*").alias("g"), alike(1).alias("h"), alike(2).alias("i"), F.min(F.struct("sig", "pos")).alias("first"))
+    chosen = groups.groupBy("g", "h", "i").agg(F.min_by("key", F.col("first.pos")).alias("key"))
+    return members.join(chosen.select("key"), "key", "left_semi").select("key", "sig", "pos")
+
+
+def _spanning(members: DataFrame, roots: DataFrame, paths: list[str]) -> DataFrame:
+    """(key, sig, pos, comp, main, blocks) of the members of groups that span components."""
     comp = members.select("key", "sig", "pos").join(roots.withColumnRenamed("id", "sig"), "sig", "left").select("key", "sig", "pos", F.coalesce("root", "sig").alias("comp"))
     comp = stored(comp, "member-components", paths=paths)
-    alike = lambda i: F.bit_xor(F.xxhash64("sig", F.lit(i)))
-    spans = comp.groupBy("key", "comp").agg(F.count("*").alias("k"), alike(1).alias("h"), alike(2).alias("i"), F.min(F.struct("sig", "pos")).alias("first"))
-    spans = spans.groupBy("key").agg(F.sum("k").alias("g"), F.bit_xor("h").alias("h"), F.bit_xor("i").alias("i"), F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.min("first").alias("first"))
-    spans = spans.filter("comps > 1").groupBy("g", "h", "i").agg(F.min_by(F.struct("key", "main"), F.col("first.pos")).alias("of")).select("of.key", "of.main")
-    return stored(comp.join(spans, "key").select("key", "sig", "pos", "comp", "main"), "open-groups", paths=paths)
+    spans = comp.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("g"), F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    spans = spans.filter("comps > 1").select("key", "main", F.ceil(F.col("g") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    return stored(comp.join(spans, "key").select("key", "sig", "pos", "comp", "main", "blocks"), "open-groups", paths=paths)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -554,9 +572,10 @@ def classes(docs: DataFrame) -> DataFrame:
     votes = members.filter("sig <> hub").groupBy("sig", "hub").agg(F.count("*").alias("votes"))
     best = votes.groupBy("sig").agg(F.max_by("hub", F.struct("votes", "hub")).alias("grp"))
     best = stored(best, "hubs", paths=old)
-    meeting = best.unionByName(best.select(F.col("grp").alias("sig"), "grp").distinct()).join(points, "sig")
-    meeting = meeting.select("grp", "sig", F.col("sig").alias("comp"), "n", F.col("n").alias("cap"), F.lit(True).alias("asks"), "vec")
-    first = survivors(stored(meeting, "stars", paths=brief), likeliest=True)
+    members = stored(unlike_groups(members), "unlike-groups", paths=old)
+    meeting = blocks_of(best.unionByName(best.select(F.col("grp").alias("sig"), "grp").distinct()))
+    meeting = meeting.select("grp", "blocks", "sig", F.col("sig").alias("comp"), F.lit(0).alias("pos"), F.lit(True).alias("asks"))
+    first = survivors(meeting, points, likeliest=True)
     near = first.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     stars = best.join(near, "sig", "left_semi").select("grp", "sig")
     links = stored(star_links(docs, points, stored(stars, "stars", paths=brief), brief), "links", paths=old)
@@ -566,9 +585,14 @@ def classes(docs: DataFrame) -> DataFrame:
     for whole in (False, True):
         # A first round links what is likeliest, so that a large group is one component before pairs are listed.
         members = _spanning(members, roots, old)  # a group that is one component stays one
-        meeting = members.join(points, "sig").select(F.col("key").alias("grp"), "sig", "comp", "n", (F.col("n") - F.col("pos")).alias("cap"), (F.col("comp") != F.col("main")).alias("asks"), "vec")
-        rest = survivors(meeting, likeliest=not whole)
-        rest = stored(key_rich(rest, prefixes), "pairs", paths=brief)
+        meeting = members.select(F.col("key").alias("grp"), "blocks", "sig", "comp", "pos", (F.col("comp") != F.col("main")).alias("asks"))
+        met = stored(survivors(meeting, points, likeliest=not whole), "met", paths=brief)
+        if not whole:
+            # A group of one block was searched in full: where no row met one of another component, none will later.
+            busy = met.select(F.col("grp").alias("key")).distinct()
+            members = members.filter("blocks > 1").unionByName(members.filter("blocks = 1").join(busy, "key", "left_semi"))
+            members = stored(members, "busy-groups", paths=old)
+        rest = stored(key_rich(met.select("a", "b").distinct(), prefixes), "pairs", paths=brief)
         if not rest.isEmpty():
             links = links.unionByName(stored(verified(docs, points, rest, brief), "links", paths=old))
             roots = stored(components(links), "roots")
