@@ -352,6 +352,16 @@ def test_one_of_each(spark, odd):
     assert sorted(r.doc_id for r in jaccard.one_of_each(clash).collect()) == got
 
 
+def test_only_doubtful_rows_are_joined(spark):
+    words = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(40)]
+    data = [*enumerate(words), (100, words[3]), (None, words[5]), (7, words[7]), (8, "other " * 9)]
+    kept = jaccard.one_of_each(spark.createDataFrame(data, "doc_id long, text string"))
+    plan = kept._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "LeftAnti" in plan.toString() and "LeftAnti" not in plan.children().apply(0).toString()
+    want = [(i, t) for i, t in enumerate(words) if i != 5] + [(None, words[5]), (8, "other " * 9)]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("rows", ["3", "1000"])
 def test_shared_keys_equal_plain_groups(spark, rows):
     """Groups that begin, end and repeat rows anywhere in batches of a few rows."""

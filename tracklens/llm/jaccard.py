@@ -388,6 +388,14 @@ def membership_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def may_hold(members: np.ndarray, ids) -> np.ndarray:
+    """Of an Arrow column of long ids, which ``members`` may hold; a null counts as 0."""
+    import pyarrow.compute as pc
+
+    at = _places(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), len(members) << 6)
+    return ((members[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
+
+
 def sets_of(docs: DataFrame, members: np.ndarray) -> DataFrame:
     """(sig, hashes) of the sets of rows whose ``doc_id`` ``members`` may hold, or is null: a row each."""
 
@@ -397,9 +405,7 @@ def sets_of(docs: DataFrame, members: np.ndarray) -> DataFrame:
 
         seen: set[int] = set()
         for batch in batches:
-            at = _places(pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False), len(members) << 6)
-            inside = ((members[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
-            texts = batch.column(1).filter(pc.or_(pa.array(inside), pc.is_null(batch.column(0))))
+            texts = batch.column(1).filter(pc.or_(pa.array(may_hold(members, batch.column(0))), pc.is_null(batch.column(0))))
             for w in words_of(texts):
                 new = list(_new_sets(w, seen))
                 yield pa.RecordBatch.from_arrays([pa.array([sig for _, sig, _ in new], pa.int64()), pa.array([u.view(np.int64) for _, _, u in new], pa.list_(pa.int64()))], names=["sig", "hashes"])
@@ -633,28 +639,36 @@ def _by_set(rows: DataFrame, roots: DataFrame, value, columns: list[str]) -> Dat
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without all but one of each component: its least ``doc_id`` stays (a null one first).
 
-    Texts without words stay. Of equal rows of one id one stays.
+    Texts without words stay. Of equal rows of one id one stays. Rows whose ids a filter
+    clears stay where they are; only the others, copies nearly all, are joined.
     """
     at, columns = docs.columns.index("text"), docs.columns
     own = "_sig"
     while own.lower() in (c.lower() for c in columns):
         own += "_"
+    keyed = docs.withColumn(own, F.col("doc_id").cast("long"))
     rows, roots = classes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")))
     kept = _by_set(rows, roots, F.min("kept").alias("kept"), ["kept"])
     gone = _salted(rows).join(kept, ["sig", "salt"]).filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("sig") == F.col("kept.sig")))).select("doc_id", "sig").distinct()
-    gone = stored(gone, "gone").alias("gone")
+    gone = stored(gone, "gone")
+    repeated = stored(rows.filter("sig is not null").groupBy("doc_id", "sig").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id"), "repeated")
+    members = membership_filter(gone.select("doc_id").unionByName(repeated).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id")))
 
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator, doubtful: bool) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            sigs = [signature(u) if len(u) else None for w in words_of(batch.column(at)) for u in shingles(w)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.int64())], names=[*columns, own])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    signed = docs.mapInArrow(run, f"{schema}, {own} long").alias("signed")
+            part = batch.filter(pa.array(may_hold(members, batch.column(len(columns))) == doubtful))
+            if doubtful:
+                sigs = [signature(u) if len(u) else None for w in words_of(part.column(at)) for u in shingles(w)]
+                part = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sigs, pa.int64())], names=[*columns, own])
+            yield part
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {own} long"
+    clear = keyed.mapInArrow(lambda batches: run(batches, False), schema)
+    signed, gone = keyed.mapInArrow(lambda batches: run(batches, True), schema).alias("signed"), gone.alias("gone")
     same = F.col("signed.doc_id").cast("long").eqNullSafe(F.col("gone.doc_id")) & (F.col(f"signed.{own}") == F.col("gone.sig"))
     left = signed.join(gone, same, "left_anti")
-    if not rows.filter("sig is not null").groupBy("doc_id", "sig").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
+    if not repeated.isEmpty():
         left = left.filter(f"{own} is null").unionByName(left.filter(f"{own} is not null").dropDuplicates(["doc_id", own]))
-    return left.select(*(f"`{c}`" for c in columns))
+    return clear.unionByName(left).select(*(f"`{c}`" for c in columns))
