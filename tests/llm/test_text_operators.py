@@ -147,6 +147,22 @@ def test_baum_welch_counts_equal_enumeration_and_raise_likelihood():
     assert logs[-1] > logs[0]
 
 
+@pytest.mark.parametrize("own", [50, 70_000])
+def test_stored_classes_give_the_counts_of_all_texts(spark, odd, own):
+    words_used = ["the", "of", "Data", "\u00e9t\u00e9"]
+    plain = pa.array([r.text for r in odd.select("text").collect()])
+    (w,) = words_of(pa.array([" ".join(words_used)]))
+    keys = np.sort(hmm.token_keys(w)[0])
+    lex = hmm.Lexicon(keys, np.full(len(keys), 9), np.arange(len(keys)), own, np.ones(own + hmm.BUCKETS), 99, len(keys))
+    model, want = hmm.Model.initial(lex, 2), hmm.Counts(2, len(lex.mass))
+    for w in words_of(plain):
+        tokens, bounds = hmm.token_keys(w)
+        want.add(model, lex.encode(tokens)[0], bounds)
+    got = hmm.expected_counts(hmm.encoded(odd, lex), lex, model)
+    for x in ("start", "move", "emit", "log"):
+        assert getattr(got, x) == pytest.approx(getattr(want, x), rel=1e-3, abs=1e-3)
+
+
 def test_language_identification(spark, odd, docs):
     df = table(spark, "/root/testdata/sf0.01", "documents")
     got = langid.identify(df, fold(df.doc_id, 5) == 0)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.llm.common import one_blas_thread, stored
+from tracklens.llm.common import one_blas_thread, remove, stored
 from tracklens.llm.words import Words, words_of
 
 STATES = 8
@@ -234,9 +234,31 @@ class Counts:
         return out
 
 
-def expected_counts(docs: DataFrame, lex: Lexicon, model: Model) -> Counts:
-    """Baum-Welch counts of all texts: each task sums its own, Spark sums the tasks'."""
-    k, classes = model.emit.shape
+def encoded(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """(tok) of each text of ``docs(text)``: the classes of its tokens, two bytes each, or four where there are too many classes."""
+    kind = _kind(lex)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        one_blas_thread()
+        for batch in batches:
+            for w in words_of(batch.column(0)):
+                keys, bounds = token_keys(w)
+                tok = lex.encode(keys)[0].astype(kind)
+                column = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * kind.itemsize).astype(np.int64)), pa.py_buffer(tok)])
+                yield pa.RecordBatch.from_arrays([column.cast(pa.binary())], names=["tok"])
+
+    return docs.select("text").mapInArrow(run, "tok binary")
+
+
+def _kind(lex: Lexicon) -> np.dtype:
+    return np.dtype("<u2" if len(lex.mass) <= 1 << 16 else "<i4")
+
+
+def expected_counts(coded: DataFrame, lex: Lexicon, model: Model) -> Counts:
+    """Baum-Welch counts of all texts, given as classes: each task sums its own, Spark sums the tasks'."""
+    (k, classes), kind = model.emit.shape, _kind(lex)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -251,19 +273,22 @@ def expected_counts(docs: DataFrame, lex: Lexicon, model: Model) -> Counts:
             held.clear()
 
         for batch in batches:
-            for w in words_of(batch.column(0)):
-                keys, bounds = token_keys(w)
-                held.append((lex.encode(keys)[0], bounds))
-                n += len(keys)
-                if n >= GATHERED:
-                    add()
-                    n = 0
+            column = batch.column(0).cast(pa.large_binary())
+            at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            if not len(column):
+                continue
+            tok = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind)
+            held.append((tok, (at - at[0]) // kind.itemsize))
+            n += len(tok)
+            if n >= GATHERED:
+                add()
+                n = 0
         if held:
             add()
         numbers, values = total.rows()
         yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), *(pa.array(values[:, i]) for i in range(k))], names=["row", *(f"s{i}" for i in range(k))])
 
-    summed = docs.select("text").mapInArrow(run, "row long, " + ", ".join(f"s{i} double" for i in range(k)))
+    summed = coded.mapInArrow(run, "row long, " + ", ".join(f"s{i} double" for i in range(k)))
     got = summed.groupBy("row").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(k))).toArrow()
     return Counts.gathered(got["row"].to_numpy(), np.stack([got[f"s{i}"].to_numpy() for i in range(k)], 1), k, classes)
 
@@ -291,10 +316,15 @@ def forward(model: Model, tok: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, lex: Lexicon, states: int = STATES, passes: int = PASSES) -> Model:
-    """Baum-Welch: every pass runs over all training texts, whole ones."""
+    """Baum-Welch: every pass runs over all training texts, whole ones, whose classes are stored once."""
     model = Model.initial(lex, states)
-    for _ in range(passes if lex.tokens else 0):
-        model = Model.maximised(expected_counts(docs, lex, model), lex)
+    if not lex.tokens or not passes:
+        return model
+    paths: list[str] = []
+    coded = stored(encoded(docs, lex), "lm-classes", "lz4", paths)
+    for _ in range(passes):
+        model = Model.maximised(expected_counts(coded, lex, model), lex)
+    remove(docs.sparkSession, paths[0])
     return model
 
 
